@@ -144,10 +144,12 @@ def exact_classes(docs: DataFrame, print_of: Callable = fingerprint, fan_in: int
     to = chain[0]
     for heads in chain[1:]:
         to = to.alias("a").join(heads.alias("b"), F.col("a.head") == F.col("b.rep"), "left").select("a.rep", F.coalesce("b.head", "a.head").alias("head"))
-    rows = members.select("row_id", "doc_id", "text_sha256", "rep").join(to, "rep")
-    # ids are packed with the row for ties: of equal ids one row stays
-    first = rows.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_id")).alias("first"), F.count("*").alias("group_size"))
-    return rows.join(first, "head").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256")
+    # a representative stands for rows of one task, a class has one for each task at most: no join has a hot key
+    per_rep = members.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_id")).alias("least"), F.count("*").alias("n")).join(to, "rep")
+    classes = per_rep.groupBy("head").agg(F.min("least").alias("first"), F.sum("n").alias("group_size"))
+    named = per_rep.select("rep", "head").join(classes, "head").select("rep", "first", "group_size")
+    rows = members.select("row_id", "doc_id", "text_sha256", "rep").join(named, "rep")
+    return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
