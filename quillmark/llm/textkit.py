@@ -79,10 +79,13 @@ class Words:
 
 
 def words(texts: pa.Array, parts: np.ndarray = BLANK) -> Words:
-    """ASCII-lower-cased words of whole texts."""
+    """Lower-cased words of whole texts: A-Z, and with NOT_ALNUM also the accented letters of Latin-1."""
     raw, off = raw_bytes(texts)
     n_docs = len(off) - 1
     data = LOWER[raw]
+    if parts is NOT_ALNUM and len(data) > 1:  # in UTF-8 these are C3 80 to C3 9E, and C3 97 isn't a letter
+        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        data[second] += 32
     inside = np.zeros(len(data) + 2, dtype=bool)
     inside[1:-1] = ~parts[data]
     breaks = np.zeros(len(data) + 1, dtype=bool)
