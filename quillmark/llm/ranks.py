@@ -14,9 +14,9 @@ def ranked(df: DataFrame, order: list, name: str, parts: int | None = None) -> D
     Rows are range-partitioned and numbered within partitions; only one count for each partition comes together.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    within = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    dealt = written(df.repartitionByRange(n, *order).withColumn("_rank_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("_rank_part").count()
+    before = sizes.select("_rank_part", (F.coalesce(F.sum("count").over(Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_rank_before"))
+    within = dealt.withColumn("_rank_at", F.row_number().over(Window.partitionBy("_rank_part").orderBy(*order)) - 1)
     # one row for each partition: at most n
-    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return within.join(F.broadcast(before), "_rank_part").withColumn(name, F.col("_rank_before") + F.col("_rank_at")).drop("_rank_part", "_rank_at", "_rank_before")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dedup
+from . import decontamination, exact_dedup, html_main, line_dedup, mixing, near_dedup, quotation, resampling, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quotation": quotation.op2_quotation,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_minhash": near_dedup.op4_minhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_quality": resampling.op6_quality,
+    "op7_html": html_main.op7_html,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
