@@ -37,7 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest id."""
     gone = near_dedup.near_groups(docs, similarity=SIMILARITY).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
+    # both grow with the documents: one way of joining at every size
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     size = mixing.n_words(F.col("text"))
     units = docs.select("doc_id", "source", size.alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
     taken = written(mixing.mixed(units).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies"), "taken")
-    j = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]))
+    j = docs.join(taken.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]))
     return j.withColumn("taken", F.col("copies") * size).drop("_id", "_source")
 
 

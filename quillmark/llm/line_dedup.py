@@ -182,7 +182,8 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_keep"))
     text = F.coalesce(docs["text"], F.lit(""))
     d = docs.withColumn("_th", F.xxhash64(text))
-    j = d.join(b, d["doc_id"].cast("bigint").eqNullSafe(b["_id"]) & (d["_th"] == b["_hash"]), "left")
+    # bitmaps grow with the documents: one way of joining at every size
+    j = d.join(b.hint("merge"), d["doc_id"].cast("bigint").eqNullSafe(b["_id"]) & (d["_th"] == b["_hash"]), "left")
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     return j.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce("_dropped", F.lit(0)).cast("bigint"), "kept_text": F.coalesce(_kept_text(F.when(F.col("_keep").isNotNull(), text), F.col("_keep")), text)}).drop("_th", "_id", "_hash", "_dropped", "_keep")
 
