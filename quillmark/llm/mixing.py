@@ -132,10 +132,11 @@ def mixed(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, weights:
     done, level = [units.where(~open_)], 0
     left = units.where(open_)
     while True:
-        counts = left.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("blocks"))
+        # written, so that Spark knows its size before it plans: a small table is broadcast and no source's rows are dealt by source
+        counts = written(left.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
         salted = left.join(counts, by).withColumn("salt", F.pmod(F.xxhash64("row_key", F.lit(level)), "blocks"))
         last = (counts.agg(F.max("blocks")).first()[0] or 1) <= 1
-        out = written(salted.groupBy(*by, "salt").applyInPandas(_block(last), _UNIT), f"cube{level}")
+        out = written(salted.repartition(*by, "salt").groupBy(*by, "salt").applyInPandas(_block(last), _UNIT), f"cube{level}")
         if last:
             done.append(out)
             break
