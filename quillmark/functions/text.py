@@ -76,7 +76,7 @@ def xml_safe(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? but not in runs of capital abbreviations such as M.V."""
     parts = F.split(text, r"(?<!(?:^|\s)(?:[A-Z]\.){0,4}[A-Z])[.!?]")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def tidy(text: Column) -> Column:

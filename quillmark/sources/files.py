@@ -29,7 +29,10 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files with ext and ``problem``: null, too_large, unsupported_type or wrong_signature."""
+    """Files with ext and ``problem``: null, too_large, unsupported_type or wrong_signature.
+
+    Spark's binary reader lists no files of zero bytes.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     ok = F.lit(False)
