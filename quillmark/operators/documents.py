@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import validity
-from ..functions.text import around, has_term
-from .lines import numbered, with_context
+from ..functions.text import around, has_term, lines
+from .lines import numbered
 from .resume import MONTH, holds_term
 
 # Date forms and the words beside them.
@@ -46,19 +46,18 @@ def sailings(pages: DataFrame, key: str, ranks: list[str], authorized: bool = Fa
 
     Each keeps its page, line and context; ``is_last`` marks the latest sign-off of a book. Ranks are tried in order.
     """
-    book = pages.withColumn("_page", F.struct(key, "page_number"))
-    rows = with_context(numbered(book, "_page", "raw_text"), "_page")
     span = rf"({DATE})\s*(?:-|–|—|(?i:to))\s*({DATE}|(?i:present|current))"
-    hit = rows.where(F.col("line").rlike(span))
+    # contexts are cut inside the page's row: no shuffle, and repeated pages stay apart
+    around_it = lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.array_join(F.slice("_lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), "\n").alias("context"))
+    dated = F.filter(F.transform("_lines", around_it), lambda r: F.regexp_like(r["line"], F.lit(span)))
+    hit = pages.withColumn("_lines", lines(F.col("raw_text"))).select(key, "page_number", "method", F.inline(dated))
     rank = F.coalesce(*[F.when(has_term(F.col("context"), r), F.lit(r)) for r in ranks])
     vessel = F.trim(F.regexp_extract("context", r"(?i)\b(?:M\s*/\s*[TV]|MV|MT|Vessel(?:\s+name)?\s*[:=-])\s*([A-Z][A-Za-z0-9 .()'-]{1,48})", 1))
     ends = [F.regexp_extract("line", span, k) for k in (1, 2)]
-    method = book.select("_page", F.col("method"))
     now = F.lower(ends[1]).isin("present", "current")
-    out = hit.select("_page", "line_no", F.trim("line").alias("row"), "context", rank.alias("rank"), F.nullif(vessel, F.lit("")).alias("vessel"), day_of(ends[0], False).alias("sign_on"), F.when(now, F.current_date()).otherwise(day_of(ends[1], False)).alias("sign_off")).join(method, "_page")
-    out = out.withColumn("confidence", F.coalesce(*[F.when(F.col("method") == m, F.lit(c)) for m, c in CONFIDENCE.items()], F.lit(0.0))).withColumn("verification_status", F.lit("verified_authorized_cdc" if authorized else "unverified_cdc"))
-    out = out.select(F.col(f"_page.{key}").alias(key), F.col("_page.page_number").alias("page_number"), *[c for c in out.columns if c != "_page"])
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("sign_off"), "page_number", "line_no")
+    sure = F.coalesce(*[F.when(F.col("method") == m, F.lit(c)) for m, c in CONFIDENCE.items()], F.lit(0.0))
+    out = hit.select(key, "page_number", "line_no", F.trim("line").alias("row"), "context", rank.alias("rank"), F.nullif(vessel, F.lit("")).alias("vessel"), day_of(ends[0], False).alias("sign_on"), F.when(now, F.current_date()).otherwise(day_of(ends[1], False)).alias("sign_off"), "method", sure.alias("confidence"), F.lit("verified_authorized_cdc" if authorized else "unverified_cdc").alias("verification_status"))
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("sign_off"), "page_number", "line_no", "context")
     return out.withColumn("is_last", (F.row_number().over(w) == 1) & F.col("sign_off").isNotNull())
 
 
