@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import layers
+from . import fields, layers
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "layers"]
+__all__ = ["QUERIES", "SQL", "fields", "layers"]
