@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -25,9 +25,10 @@ def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame, longes
 
     ``dictionary`` has term (lower-case words joined by one space) and canonical.
     """
-    found = grams(docs, key, text, longest).join(dictionary.select("term", "canonical").distinct(), F.col("gram") == F.col("term"))
-    n = F.size(F.collect_set("canonical").over(Window.partitionBy(key, "pos", "term")))
-    return found.withColumn("status", F.when(n > 1, "ambiguous").otherwise("evidenced")).drop("gram")
+    # how many names a term has is known from the dictionary: no window over the mentions
+    names = dictionary.groupBy("term").agg(F.collect_set("canonical").alias("_names"))
+    terms = names.select("term", F.explode("_names").alias("canonical"), F.when(F.size("_names") > 1, "ambiguous").otherwise("evidenced").alias("status"))
+    return grams(docs, key, text, longest).join(terms, F.col("gram") == F.col("term")).drop("gram")
 
 
 def first_by_priority(found: DataFrame, key: str, priority: DataFrame) -> DataFrame:
