@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import fields, layers
+from . import composed, fields, layers
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "fields", "layers"]
+__all__ = ["QUERIES", "SQL", "composed", "fields", "layers"]

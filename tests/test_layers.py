@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import documents, geometry, resume
+from quillmark.operators import documents, geometry, reports, resume
 
 WORD = "p int, text string, x0 double, x1 double, top double, bottom double"
 BOX = "p int, text string, x0 double, x1 double, y0 double, y1 double"
@@ -116,3 +116,14 @@ def test_sailings(spark):
     assert got == [(1, "third officer", "Star", d(2020, 1, 1), d(2020, 6, 1), 0.95, False), (2, "second officer", "Moon", d(2021, 2, 1), d(2021, 4, 3), 0.7, True)]
     n = df.where("page_number = 1 AND book = 'b'").select(documents.book_numbers(F.col("raw_text")).alias("x")).first().x
     assert (n.cdc, n.indos, n.name) == ("AB123456", None, "Sample Candidate")
+
+
+def test_reports_and_decisions(spark):
+    docs = spark.createDataFrame([(1, "Saved 1,200 and 45%. Mail sample@example.test — now 3."), (2, None), (3, "")], "id int, text string")
+    got = {r.id: (r.facts, r.emails, r.findings, r.grade) for r in reports.layered(docs, "text", F.lit("taleo")).collect()}
+    assert got[1] == (["1200", "45%", "3"], ["sample@example.test"], ["EM_DASH_DETECTED", "FILE_FORMAT_ADVISORY"], "PASS")  # 29.2 parse points and 45 of content
+    assert got[2] == got[3] == ([], [], ["FILE_FORMAT_ADVISORY"], "FAIL")
+    rows = [(1, 50, 70, ["a"], ["a"]), (2, 50, 70, ["a"], ["a", "b"]), (3, 50, 40, ["a"], ["a"]), (4, 50, 55, ["a"], []), (5, None, 55, [], [])]
+    pairs = spark.createDataFrame(rows, "id int, before int, after int, old_facts array<string>, new_facts array<string>")
+    got = {r.id: (r.verdict, r.quality, r.retry, r.kept) for r in reports.decided(pairs).collect()}
+    assert got == {1: ("improved", "full", False, "rewritten"), 2: ("factual_integrity_risk", "full", False, "original"), 3: ("degraded", "none", True, "original"), 4: ("degraded", "partial", True, "rewritten"), 5: (None, "none", False, "rewritten")}
