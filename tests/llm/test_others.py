@@ -199,6 +199,33 @@ def test_decontamination(spark):
     assert decontamination.hits(df, decontamination.fitted_items(df, bench.where("false"))).count() == 0
 
 
+def test_decontamination_of_many_items(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("lmnrst") + str(rng.randint(0, 60))
+    items = [(k, " ".join(word() for _ in range(rng.randint(15, 59)))) for k in range(2000)]
+    rows, want = [], set()
+    for k in range(100):
+        w = [word() for _ in range(rng.randint(50, 200))]
+        if k % 2:
+            i = k * 20 + 3
+            at = rng.randint(0, len(w))
+            w[at:at] = items[i][1].split()
+            want.add((k, i))
+        rows.append((k, " ".join(w), "s"))
+    df = docs(spark, rows).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.hits(df, decontamination.fitted_items(df, bench)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    # an item of more windows than a part holds, and parts in passes of their own
+    monkeypatch.setattr(decontamination, "RANK", 8)
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 1 << 18)
+    fitted = decontamination.Benchmark([(*items[23], None), (5000, rows[50][1] + " " + rows[48][1], None), (*items[63], None)], decontamination.inverse_frequencies(df), spark)
+    long = docs(spark, [*rows[:4], (500, rows[50][1] + " " + rows[48][1], "s")])
+    got = decontamination.hits(long, fitted).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 23), (3, 63), (500, 5000)]
+    assert sorted(r.doc_id for r in decontamination.without_hits(long, fitted).collect()) == [0, 2]
+
+
 def test_token_counts_round_trip(spark):
     texts = [*ODD, "Hello world, this is text. " * 30, "word " * 40_000]
     rows = [(k, t, None) for k, t in enumerate(texts)] + [(None, "z", None)]
