@@ -226,6 +226,36 @@ def test_decontamination_of_many_items(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontamination.without_hits(long, fitted).collect()) == [0, 2]
 
 
+def test_decontamination_of_hot_items(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("lmnrst") + str(rng.randint(0, 999))
+    often = [word() for _ in range(12)]
+    items = [(0, " ".join(word() for _ in range(16))), (1, " ".join(often)), (2, " ".join(word() for _ in range(40)))]
+    own, edited = items[0][1].split(), items[0][1].split()
+    del edited[7::8]
+    body = [word() for _ in range(150)]
+    rows, want = [], set()
+    for k in range(300):
+        w = [word() for _ in range(150)]
+        if k % 3 == 0:  # the hot group: one text that holds item 0
+            w = [*body[:70], *own, *body[70:]]
+            want.add((k, 0))
+        elif k % 30 == 1:
+            w[61:61] = edited if k % 60 == 1 else own
+            want.add((k, 0))
+        elif k % 30 == 2:
+            w[90:90] = often
+            want.add((k, 1))
+        else:
+            for x in rng.sample(often, 6):
+                w[rng.randint(0, 149)] = x
+        rows.append((k, " ".join(w), "s"))
+    df = docs(spark, rows).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.hits(df, decontamination.fitted_items(df, bench)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+
+
 def test_token_counts_round_trip(spark):
     texts = [*ODD, "Hello world, this is text. " * 30, "word " * 40_000]
     rows = [(k, t, None) for k, t in enumerate(texts)] + [(None, "z", None)]
