@@ -35,10 +35,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest id."""
-    gone = near_dedup.near_groups(docs, similarity=SIMILARITY).where("NOT kept").select("doc_id").distinct()
+    """One row of each near-duplicate group stays: the one of the smallest id, nulls last; of rows that share it, one of them.
+
+    Rows are told apart by a number of their own, whatever their ids.
+    """
+    # written, so that every later read finds the same numbers
+    rows = written(docs.withColumn("_near_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_groups(rows.select(F.col("_near_row").alias("doc_id"), "text"), similarity=SIMILARITY).select(F.col("doc_id").alias("_near_row"), "component_id")
+    ids = rows.select("_near_row", F.col("doc_id").cast("bigint").alias("_id"))
+    first = groups.join(ids, "_near_row").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_near_row")).alias("first"))
+    kept = first.select("first._near_row")
     # both grow with the documents: one way of joining at every size
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
+    return rows.join(kept.hint("merge"), "_near_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,3 +156,20 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_classes(empty).count() == 0
     assert near_dedup.near_groups(empty).count() == 0
     assert line_dedup.without_lines(empty, line_dedup.keep_bitmaps(empty)).count() == 0
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(200))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(1, a), (None, near(a)), (None, b), (2, near(c)), (2, d), (0, c), (3, e), (3, e), (3, near(e)), (None, f), (None, f), (4, ""), (None, None)]
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)
+    got = corpus_pipeline.near_stage(spark, df, "")
+    assert got.columns == df.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(got) == 8
+    assert {g for g in got if g[0] != 3} == {(1, a), (None, b), (2, d), (0, c), (None, f), (4, ""), (None, None)}
+    assert [g for g in got if g[0] == 3][0] in [(3, e), (3, near(e))]
