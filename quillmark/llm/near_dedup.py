@@ -5,11 +5,14 @@ sets merge by maximum, and registers agree with about the probability of the Jac
 find candidates; the joint likelihood of the counts of lower, equal and higher registers drops the hopeless ones; the
 rest are confirmed on full sets. Links make components.
 
-Rows are the unit. Rows of equal sets form one class before any pairing, whatever their ids. A text without words has
-an empty set and is linked with nothing. A null id is a smallest id only where no row of its component has one; a row is
+Rows are the unit. Rows of equal sets form one class before any pairing, whatever their ids; a class's text is read
+again by the id and two hashes of the text of one of its rows, so rows that share an id, or have none, cost no more than
+others. A text without words has an empty set and is linked with nothing. A null id is a smallest id only where no row of its component has one; a row is
 kept if its id equals its component's. Extra columns are ignored. An empty table gives an empty result.
 
 A pair at the threshold is missed by all bands with probability (1 - s^ROWS)^BANDS: 7e-9 at s = 0.85, 3e-6 at 0.8.
+The likelihood drops a pair at the threshold only where its estimate falls SLACK standard errors short: below 1e-5, and
+less for more similar pairs.
 """
 
 from __future__ import annotations
@@ -85,7 +88,7 @@ def floor_of(similarity: float) -> float:
     return max(0.0, similarity - SLACK * math.sqrt(similarity * (1 - similarity) / REGISTERS))
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -96,13 +99,16 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for batch in batches:
         for part in slices(batch, "text"):
             rows = [(len(s), *_digest(s), sketch(s).tobytes()) for s in shingle_sets(words(part.column("text")), width)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_SKETCHED)[1:]))], schema=_SKETCHED)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h1", "h2")), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_SKETCHED)[3:]))], schema=_SKETCHED)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The sets of candidate classes; of rows that share an id only those of the class's digest count."""
+    """The sets of candidate classes, each once a task."""
+    seen: set[int] = set()
     for batch in batches:
-        for part in slices(batch, "text"):
+        own = batch.column("cid").to_pylist()
+        first = [seen.add(c) or True if c not in seen else False for c in own]
+        for part in slices(batch.filter(pa.array(first, pa.bool_())), "text"):
             found = [(c, s.tobytes()) for c, d, s in zip(part.column("cid").to_pylist(), zip(part.column("d1").to_pylist(), part.column("d2").to_pylist()), shingle_sets(words(part.column("text")), width)) if _digest(s) == d]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["cid", "items"])
@@ -148,18 +154,14 @@ def _block(percent: int, least: float):
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         flags = np.zeros(int(ids.max()) + 1, dtype=np.int32)
-        root = list(range(len(cid)))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+        label = np.arange(len(cid))
 
         for i in range(len(cid)):
-            later = np.arange(i + 1, len(cid)) if bi == bj else np.flatnonzero(side != side[i])
             if bi != bj and side[i] != bi:
                 continue
+            later = np.arange(i + 1, len(cid)) if bi == bj else np.flatnonzero(side != side[i])
+            # only what isn't joined yet: rows of one component need no second link
+            later = later[label[later] != label[i]]
             later = later[np.minimum(n[later], n[i]) * 100 >= percent * np.maximum(n[later], n[i])]
             if not len(later):
                 continue
@@ -172,19 +174,15 @@ def _block(percent: int, least: float):
             less = (m[later] < m[i]).sum(1)
             same = eq.sum(1)
             later = later[likelier(least, less, same, REGISTERS - same - less, n[later].astype(float), float(n[i])) >= 0]
-            if not len(later):
-                continue
             own = ids[starts[i] : starts[i] + n[i]]
             flags[own] = 1
-            inter = np.add.reduceat(flags[ids], starts)[later]
+            for j in later.tolist():
+                if label[j] != label[i] and linked(int(flags[ids[starts[j] : starts[j] + n[j]]].sum()), int(n[j]), int(n[i]), percent):
+                    x, y = sorted((label[i], label[j]))
+                    label[label == y] = x
             flags[own] = 0
-            for j in later[linked(inter, n[later], n[i], percent)]:
-                x, y = find(i), find(int(j))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-        tops = np.array([find(x) for x in range(len(cid))], dtype=np.int64)
-        own = tops != np.arange(len(cid))
-        return pa.table({"a": pa.array(cid[own]), "b": pa.array(cid[tops[own]])})
+        own = label != np.arange(len(cid))
+        return pa.table({"a": pa.array(cid[own]), "b": pa.array(cid[label[own]])})
     return run
 
 
@@ -192,11 +190,12 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     """Every row of (doc_id, text): doc_id, n_shingles, component_id, kept. Links: Jaccard similarity of at least ``similarity``."""
     percent = round(100 * similarity)
     least = floor_of(similarity)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = written(source.mapInArrow(lambda it: _sketched(it, width), "doc_id long, n long, d1 long, d2 long, sketch binary"), "sketches")
-    by = ["n", "d1", "d2"]
-    kinds = rows.where("n > 0").groupBy(*by).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = written(ranked(kinds, [F.col(c) for c in by], "cid").select(F.col("cid").cast("bigint").alias("cid"), *by, "rep", "sketch"), "classes")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    rows = written(source.mapInArrow(lambda it: _sketched(it, width), "doc_id long, h1 long, h2 long, n long, d1 long, d2 long, sketch binary"), "sketches")
+    by, at = ["n", "d1", "d2"], ["doc_id", "h1", "h2"]
+    # one row stands for its class: that of the least id, nulls last
+    kinds = rows.where("n > 0").groupBy(*by).agg(F.min(F.struct(F.col("doc_id").isNull(), *at)).alias("rep"), F.first("sketch").alias("sketch"))
+    classes = written(ranked(kinds, [F.col(c) for c in by], "cid").select(F.col("cid").cast("bigint").alias("cid"), *by, *[F.col(f"rep.{c}").alias(f"rep_{c}") for c in at], "sketch"), "classes")
     bands = classes.select("cid", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.expr(f"substring(sketch, {2 * ROWS * k + 1}, {2 * ROWS})")) for k in range(BANDS)])).alias("band", "bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
     shared = written(bands.join(full, "bucket"), "buckets")
@@ -206,8 +205,13 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     side = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(s))
     likely = written(pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").mapInArrow(lambda it: _likely(it, least), "a long, b long"), "likely")
     wide = shared.where(F.col("members") > SMALL)
-    wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).unionByName(wide.select("cid")).distinct().join(classes.select("cid", "d1", "d2", "rep"), "cid")
-    sets = written(source.join(wanted, source["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "d2", "text").mapInArrow(lambda it: _full_sets(it, width), "cid long, items binary"), "sets")
+    wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).unionByName(wide.select("cid")).distinct().join(classes.select("cid", "d1", "d2", *[f"rep_{c}" for c in at]), "cid")
+    same_row = source["doc_id"].eqNullSafe(wanted["rep_doc_id"]) & (source["h1"] == wanted["rep_h1"]) & (source["h2"] == wanted["rep_h2"])
+    sets = written(source.join(wanted, same_row).select("cid", "d1", "d2", "text").mapInArrow(lambda it: _full_sets(it, width), "cid long, items binary"), "sets")
+    if sets.groupBy("cid").count().where("count > 1").limit(1).count():  # equal rows of equal ids that several tasks read
+        again = sets
+        sets = written(again.groupBy("cid").agg(F.first("items").alias("items")), "sets")
+        dropped(again)
     one = lambda c, s: sets.select(F.col("cid").alias(c), F.col("items").alias(s))
     few = likely.join(one("a", "x"), "a").join(one("b", "y"), "b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_ROWS)).cast("int")
@@ -217,8 +221,9 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     links = written(few.unionByName(many), "links")
     dropped(shared, sets, likely)
     roots = components(links)
-    group = classes.join(roots, classes["cid"] == roots["node"], "left").select(*by, "rep", F.coalesce("root", "cid").alias("root"))
-    least_id = group.groupBy("root").agg(F.min("rep").alias("least_id"))
+    dropped(links)
+    group = classes.join(roots, classes["cid"] == roots["node"], "left").select(*by, "rep_doc_id", F.coalesce("root", "cid").alias("root"))
+    least_id = group.groupBy("root").agg(F.min("rep_doc_id").alias("least_id"))
     named = group.join(least_id, "root").select(*by, F.col("least_id"))
     # classes are unique, so this keeps the rows' number; a hot class's rows are split by Spark where they are many
     out = rows.select("doc_id", *by).join(named, by, "left")

@@ -127,6 +127,28 @@ def test_near_groups(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_groups_of_one_id(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(2500):
+        w = [str(rng.randint(0, 10**6)) for _ in range(40)]
+        rows += [(None if k % 2 else 7, " ".join(w)), (None if k % 2 else 7, " ".join([*w, "more"]))]
+    rows += [(None, rows[1][1])] * 300 + [(3, rows[0][1])]
+    got = near_dedup.near_groups(table(spark, rows).repartition(4), 0.85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(near(rows, 85), key=repr)
+
+
+def test_near_pairs_close_to_the_threshold_are_found(spark):
+    rng = random.Random(18)
+    rows = []
+    for k in range(1500):  # runs of one text: similarity x / (x + 2 * cut) of its shingles
+        w = [str(rng.randint(0, 10**6)) for _ in range(400)]
+        cut = rng.choice([26, 28, 29, 30, 31, 34])
+        rows += [(2 * k, " ".join(w[:-cut])), (2 * k + 1, " ".join(w[cut:]))]
+    got = near_dedup.near_groups(table(spark, rows).repartition(4), 0.85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near(rows, 85))
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**64, 3000, dtype=np.uint64)
