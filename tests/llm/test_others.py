@@ -219,7 +219,7 @@ def test_decontamination_of_many_items(spark, monkeypatch):
     # an item of more windows than a part holds, and parts in passes of their own
     monkeypatch.setattr(decontamination, "RANK", 8)
     monkeypatch.setattr(decontamination, "ITEM_BYTES", 1 << 18)
-    fitted = decontamination.Benchmark([(*items[23], None), (5000, rows[50][1] + " " + rows[48][1], None), (*items[63], None)], decontamination.inverse_frequencies(df), spark)
+    fitted = decontamination.fitted_items(df, spark.createDataFrame([items[23], (5000, rows[50][1] + " " + rows[48][1]), items[63]], "item_id long, text string"))
     long = docs(spark, [*rows[:4], (500, rows[50][1] + " " + rows[48][1], "s")])
     got = decontamination.hits(long, fitted).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 23), (3, 63), (500, 5000)]
