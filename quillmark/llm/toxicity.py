@@ -2,8 +2,8 @@
 
 Features: densities of a seed lexicon and of a lexicon learned from labelled rows (words and word beginnings that part
 toxic from other rows), how near lexicon words stand to second-person words, capitals, punctuation and obfuscation.
-The lexicon is learned from one half of the labelled training rows and the trees from the other half, at most
-LABELLED rows together; held-out rows (crc32 of the id, modulo 4, is 2) are never used. Labels, lang, source and ids
+Lexicon and trees are cross-fitted on at most LABELLED labelled rows: the features of a fold's rows come from a lexicon
+learned from the other folds, the trees from all rows, and what scores is the lexicon of all rows; held-out rows (crc32 of the id, modulo 4, is 2) are never used. Labels, lang, source and ids
 are no inputs of a score.
 
 A null text is an empty one and gets a score as well. A null id is not held out. Of repeated labels for an id the
@@ -31,12 +31,19 @@ LEXICON, CANDIDATES = 4_000, 60_000
 LEAST_ROWS, LEAST_ODDS = 3, 1.6
 #: Lengths of word beginnings in bytes.
 BEGINNINGS = range(4, 11)
+#: Folds of the cross-fitted lexicon.
+FOLDS = 4
 #: Words between a lexicon word and a second-person word that still count as near.
 NEAR = 5
 THRESHOLD = 0.3
 
 # Fixed word lists.
-SEED = "idiot moron stupid loser scum trash clown worthless pathetic disgusting dumb fool jerk imbecile cretin filth garbage vermin bastard pig rat ugly hate kill shut die freak creep coward liar".split()
+SEED = (
+    "idiot moron stupid loser scum trash clown worthless pathetic disgusting dumb fool jerk imbecile cretin filth garbage vermin bastard pig rat ugly hate kill shut die freak creep coward liar "
+    "connard salaud crétin abruti débile ordure minable pourriture imbécile menteur lâche "
+    "dummkopf trottel arschloch idioten abschaum widerlich dreckig versager lügner feigling schwachkopf "
+    "estúpido imbécil idiota basura asqueroso cobarde mentiroso payaso patético inútil escoria"
+).split()
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes ti vosotros".split()
 
 N_FEATURES = 18
@@ -130,10 +137,10 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _seen(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows with a key, counted once a row; with ``known`` only its keys."""
+    """Rows of each fold with a key, counted once a row; with ``known`` only its keys."""
     for batch in batches:
         for part in slices(batch, "text"):
-            w = words(part.column("text"), NOT_ALNUM)
+            w, fold = words(part.column("text"), NOT_ALNUM), part.column("fold").to_numpy()
             pairs = []
             for at, h in keys(w):
                 if known is not None:
@@ -144,27 +151,47 @@ def _seen(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterat
                 d, h = d[order], h[order]
                 first = np.ones(len(h), dtype=bool)
                 first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                pairs.append(h[first])
-            k, c = np.unique(np.concatenate(pairs), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
-
-
-def learned_lexicon(half: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """From rows (text, toxic): sorted keys and their log odds ratios, at most LEXICON."""
-    seen = lambda df, known: df.select("text").mapInArrow(lambda it: _seen(it, known), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    n1, n0 = half.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    bad = seen(half.where("toxic = 1"), None).where(F.col("c") >= LEAST_ROWS).orderBy(F.desc("c"), "k").limit(CANDIDATES).toPandas()
-    if not len(bad):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    known = np.sort(bad["k"].to_numpy().view(np.uint64))
-    clean = seen(half.where("toxic <> 1"), known).toPandas()
-    c0 = dict(zip(clean["k"], clean["c"]))
-    odds = np.array([np.log((c + 0.5) / (n1 + 1)) - np.log((c0.get(k, 0) + 0.5) / (n0 + 1)) for k, c in zip(bad["k"], bad["c"])])
-    best = np.lexsort((bad["k"], -odds * np.sqrt(bad["c"])))
-    best = best[odds[best] >= LEAST_ODDS][:LEXICON]
-    k = bad["k"].to_numpy()[best].view(np.uint64)
-    order = np.argsort(k)
-    return k[order], odds[best][order]
+                pairs.append((h[first], fold[d[first]]))
+            h, f = (np.concatenate(x) for x in zip(*pairs))
+            k, at = np.unique(h, return_inverse=True)
+            counts = np.bincount(at * FOLDS + f, minlength=len(k) * FOLDS).reshape(-1, FOLDS)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(c) for c in counts.T)], names=["k", *_COUNTS])
+
+
+_COUNTS = [f"c{j}" for j in range(FOLDS)]
+
+
+class Counts:
+    """Of each candidate key the rows of either label that have it, by fold; and how many rows there are."""
+
+    def __init__(self, sample: DataFrame):
+        """From rows (text, toxic, fold): two passes; at most CANDIDATES keys come back."""
+        def seen(df: DataFrame, known: np.ndarray | None) -> DataFrame:
+            rows = df.select("text", "fold").mapInArrow(lambda it: _seen(it, known), ", ".join(f"{c} long" for c in ["k", *_COUNTS]))
+            return rows.groupBy("k").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+        total = sum((F.col(c) for c in _COUNTS[1:]), F.col(_COUNTS[0]))
+        rows = sample.groupBy("fold").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") != 1).alias("n0")).collect()
+        self.n1, self.n0 = np.zeros(FOLDS), np.zeros(FOLDS)
+        for r in rows:
+            self.n1[r.fold], self.n0[r.fold] = r.n1, r.n0
+        bad = seen(sample.where("toxic = 1"), None).where(total >= LEAST_ROWS).orderBy(F.desc(total), "k").limit(CANDIDATES).toPandas().sort_values("k")
+        self.keys = bad["k"].to_numpy(np.int64)
+        self.bad, self.clean = bad[_COUNTS].to_numpy(float), np.zeros((len(bad), FOLDS))
+        if len(bad):
+            clean = seen(sample.where("toxic <> 1"), np.sort(self.keys.view(np.uint64))).toPandas()
+            self.clean[np.searchsorted(self.keys, clean["k"].to_numpy(np.int64))] = clean[_COUNTS].to_numpy(float)
+
+    def lexicon(self, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and their log odds ratios, at most LEXICON, learned from all folds but one."""
+        own = np.arange(FOLDS) != (-1 if without is None else without)
+        c1, c0 = self.bad[:, own].sum(1), self.clean[:, own].sum(1)
+        odds = np.log((c1 + 0.5) / (self.n1[own].sum() + 1)) - np.log((c0 + 0.5) / (self.n0[own].sum() + 1))
+        best = np.lexsort((self.keys, -odds * np.sqrt(c1)))
+        best = best[(odds[best] >= LEAST_ODDS) & (c1[best] >= LEAST_ROWS)][:LEXICON]
+        k = self.keys[best].view(np.uint64)
+        order = np.argsort(k)
+        return k[order], odds[best][order]
 
 
 class Model:
@@ -178,10 +205,13 @@ class Model:
         return np.clip(np.interp(raw, *self.knots), 0.0, 1.0)
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch], lexicon, odds) -> Iterator[pa.RecordBatch]:
+def _feature_rows(batches: Iterator[pa.RecordBatch], lexicons: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            x = features(part.column("text"), lexicon, odds)
+            fold = part.column("fold").to_numpy()
+            x = np.zeros((part.num_rows, N_FEATURES))
+            for j in np.unique(fold):
+                x[fold == j] = features(part.column("text").filter(pa.array(fold == j)), *lexicons[j])
             yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), part.column("h"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "h", "x"])
 
 
@@ -191,11 +221,13 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~is_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     picked = marked.withColumn("h", h).orderBy("h", "doc_id").limit(most)
     mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    fold = F.pmod(F.shiftright("h", 7), F.lit(FOLDS)).cast("int")
     # at most ``most`` small rows
-    sample = written(mine.join(F.broadcast(picked), "doc_id").select("text", "toxic", "h"), "labelled")
-    half = F.pmod(F.shiftright("h", 7), F.lit(2)) == 0
-    lexicon, odds = learned_lexicon(sample.where(half))
-    rows = sample.where(~half).mapInArrow(lambda it: _feature_rows(it, lexicon, odds), "toxic int, h long, x array<double>").toPandas().sort_values("h", kind="stable")
+    sample = written(mine.join(F.broadcast(picked), "doc_id").select("text", "toxic", "h", fold.alias("fold")), "labelled")
+    counts = Counts(sample)
+    lexicon, odds = counts.lexicon()
+    lexicons = [counts.lexicon(j) for j in range(FOLDS)]
+    rows = sample.mapInArrow(lambda it: _feature_rows(it, lexicons), "toxic int, h long, x array<double>").toPandas().sort_values("h", kind="stable")
     dropped(sample)
     y = rows["toxic"].to_numpy(float)
     if not len(rows) or not 0 < y.sum() < len(y):
