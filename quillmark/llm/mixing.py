@@ -8,7 +8,8 @@ undecided rows go on to the next level of blocks, until one block a
 source is left, whose last RESERVE rows and undecided rows land together. Words and documents of each source stay at
 their totals up to that landing, which brings the words as near as that pool allows.
 
-Rows are the unit, also if ids repeat. Null or blank texts have size 0. Null sources are one source, last in order.
+Rows are the unit, also if ids repeat; equal rows are counted, numbered and dealt apart, so they never fill one block.
+Null or blank texts have size 0. Null sources are one source, last in order.
 Draws come from hashes of ids and sizes: reruns agree. Extra columns are ignored. Empty tables give empty results.
 """
 
@@ -28,6 +29,9 @@ BLOCK = 4096
 RESERVE = 32
 _EPS = 1e-9
 
+#: Equal rows that are numbered together.
+CHUNK = 4096
+
 _UNIT = "row_key long, doc_id long, size long, nil boolean, name string, base long, p double"
 
 
@@ -126,8 +130,12 @@ def mixed(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, weights:
     stats = written(targets(rows.groupBy("nil", "name").agg(F.sum("size").alias("source_size")), total_share, most, weights), "targets")
     by = ["nil", "name"]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # equal rows are counted map-side and told out again by number: first in chunks, which are dealt out, then one by one
+    chunks = rows.groupBy("doc_id", "size", *by).agg(F.count("*").alias("n")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK) - 1)))
+    first = F.col("chunk") * CHUNK
+    told = chunks.repartition("doc_id", "size", "name", "chunk").withColumn("nth", F.explode(F.sequence(first, F.least(first + CHUNK, "n") - 1)))
     # one row a source: left unhinted, so that Spark broadcasts it only below its size limit
-    units = rows.join(stats, by).withColumn("rate", rate).select(F.xxhash64("doc_id", "size", "name").alias("row_key"), "doc_id", "size", *by, F.floor("rate").cast("bigint").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"))
+    units = told.join(stats, by).withColumn("rate", rate).select(F.xxhash64("doc_id", "size", "name", "nth").alias("row_key"), "doc_id", "size", *by, F.floor("rate").cast("bigint").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"))
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     done, level = [units.where(~open_)], 0
     left = units.where(open_)

@@ -48,6 +48,20 @@ def test_mixing(spark, block):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_mixing_deals_equal_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rows = spark.createDataFrame([(None, "a", 7)] * 500 + [(1, "b", 3)] * 200 + [(k, "b", k % 5) for k in range(100)], "doc_id long, source string, size int")
+    run = mixing._block
+
+    def counted(last):
+        f = run(last)
+        return lambda pdf: (f(pdf) if len(pdf) < 200 else pdf[:0][["row_key", "doc_id", "size", "nil", "name", "base", "p"]])
+
+    monkeypatch.setattr(mixing, "_block", counted)  # a block that holds all equal rows would lose them
+    got = mixing.mixed(rows, block=32).collect()
+    assert len(got) == 800 and sum(r.taken for r in got if r.source == "a") > 0
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     p, size = rng.random(500), rng.integers(0, 900, 500).astype(float)
