@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 from brute import WORD
-from quillmark.llm import boosting, decontamination, html_main, mixing, quotation, resampling, token_counts, toxicity
+from quillmark.llm import boosting, decontamination, html_main, mixing, resampling, token_counts, toxicity
 
 ODD = [None, "", " ", "é" * 50_000, "a b c", "a b c"]
 
@@ -75,26 +75,6 @@ def test_flight_keeps_probabilities():
     assert np.abs(mean - p).max() < 0.04
 
 
-def test_quotation(spark):
-    rows = [
-        (1, 0, "user", "First line here\nSecond LINE"), (1, 1, "assistant", "An answer"), (1, 2, "user", "On Monday, Ann wrote:\n> first   line here\n> second line\n\nI disagree"),
-        (1, 3, "user", "> An answer\n>> first line here\nthanks"), (2, 0, "user", "> First line here"), (2, 1, None, None), (None, None, "user", ""), (3, 5, "user", "x"), (3, 5, "user", "x"),
-    ]
-    got = quotation.linked(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, position string")).collect()
-    assert len(got) == len(rows)
-    one = {r.turn: r for r in got if r.conv_id == 1}
-    assert [one[k].reply_to for k in range(4)] == [None, 0, 0, 1]
-    assert [one[k].thread for k in range(4)] == [0, 1, 0, 1]
-    assert [one[k].position for k in (0, 2, 1, 3)] == [0, 1, 2, 3]
-    assert one[2].text == "I disagree" and one[3].text == "thanks" and one[3].n_quotes == 2
-    assert {(r.turn, r.reply_to, r.text) for r in got if r.conv_id == 2} == {(0, None, ""), (1, 0, "")}
-    assert quotation.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
-def test_passage_hash_is_normal():
-    assert quotation.passage_hash(["A  b ", "", "C"]) == quotation.passage_hash(["a b", "c"]) != quotation.passage_hash(["a b c"])
-
-
 def test_resampling_matches_plain_counts(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice("good fine nice".split() if k % 2 else "bad poor sad".split()) for _ in range(30)), "s") for k in range(200)] + [(1000 + k, t, None) for k, t in enumerate(ODD)] + [(None, "a b", None)]
