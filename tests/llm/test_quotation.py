@@ -132,6 +132,6 @@ def test_worked_example(spark):
 
 def test_a_short_common_line_weighs_less_than_a_passage(spark):
     long = "This is the passage that the reply is about and it goes on for a while"
-    rows = [(1, 0, "user", long), (1, 1, "user", "thanks"), (1, 2, "user", f"> {long[:30]}\n> {long[31:]}\n>\n> thanks\nyes")]
+    rows = [(1, 0, "user", long), (1, 1, "user", "thanks"), (1, 2, "user", "> " + long.replace(" reply ", "\n> reply ") + "\n>\n> thanks\nyes")]
     got = {r.turn: r for r in quotation.linked(table(spark, rows)).collect()}
     assert got[2].reply_to == 0 and got[2].text == "yes"
