@@ -254,19 +254,31 @@ def test_token_counts_round_trip(spark):
     texts = [*ODD, "Hello world, this is text. " * 30, "word " * 40_000]
     rows = [(k, t, None) for k, t in enumerate(texts)] + [(None, "z", None)]
     streams = token_counts.packed(docs(spark, rows).repartition(2), block=64)
-    lengths = token_counts.scanned(streams)
+    assert "tokens" not in streams.columns
+    lengths = token_counts.scanned(streams, block=64)
     named = streams.select("stream", "block_no", "doc_ids").join(lengths, ["stream", "block_no"]).collect()
     got = sorted(((d, n) for r in named for d, n in zip(r.doc_ids, r.lengths)), key=repr)
-    enc = token_counts.encoder(token_counts.VOCABULARY)
+    enc = token_counts.encoder(token_counts.vocabulary(token_counts.VOCABULARY))
     assert got == sorted(((d, len(enc.encode_ordinary(t or ""))) for d, t, _ in rows), key=repr)
     assert all(len(r.doc_ids) == len(r.lengths) for r in named)
 
 
-def test_token_files_without_last_separator(spark, tmp_path):
+def test_blocks_where_python_cannot_open_the_folder(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "can_open", lambda uri: False)
+    streams = token_counts.packed(docs(spark, [(1, "a b c " * 100, None), (2, None, None)]), block=64)
+    assert "tokens" in streams.columns
+    assert sorted(n for r in token_counts.scanned(streams, block=64).collect() for n in r.lengths)[0] == 0
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_token_files_without_last_separator(spark, tmp_path, monkeypatch, ranges):
     ids = np.array([5, 6, 9, 9, 7, 7, 7, 7, 7, 9, 1, 2], dtype="<u4")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = sorted(token_counts.scanned(token_counts.token_files(spark, str(tmp_path), width=4, block=3), end=9, width=4).collect(), key=lambda r: r.block_no)
+    monkeypatch.setattr(token_counts, "can_open", lambda uri: ranges)
+    files = token_counts.token_files(spark, str(tmp_path), width=4, block=3)
+    assert ("tokens" in files.columns) != ranges
+    got = sorted(token_counts.scanned(files, end=9, width=4, block=3).collect(), key=lambda r: r.block_no)
     assert [n for r in got for n in r.lengths] == [2, 0, 5] and sum(r.open_tokens for r in got) == 2
 
 
