@@ -126,14 +126,19 @@ def _streamed(batches: Iterator[pa.RecordBatch], least: int, keep_first: bool) -
             yield as_batch(out)
 
 
-@F.udf(T.BinaryType())
-def packed(dropped_at, n_lines):
-    """A keep bitmap, one bit a line, filled up with ones to whole bytes and deflated."""
-    keep = np.ones(-(-n_lines // 8) * 8, dtype=bool)
-    keep[np.asarray(dropped_at, dtype=np.int64)] = False
+def bitmap(dropped_at: np.ndarray) -> bytes:
+    """A keep bitmap, one bit a line up to the last dropped one, filled up with ones to whole bytes and deflated."""
+    keep = np.ones((int(dropped_at.max()) // 8 + 1) * 8, dtype=bool)
+    keep[dropped_at] = False
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
 
+@F.arrow_udf(T.BinaryType())
+def packed(dropped_at: pa.Array) -> pa.Array:
+    at, bounds = dropped_at.values.to_numpy(zero_copy_only=False), dropped_at.offsets.to_numpy()
+    return pa.array([bitmap(at[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
 def unpacked(bitmap: bytes, n_lines: int) -> np.ndarray:
     """A flag for each line; lines past the bitmap's end are kept."""
     keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8)).astype(bool)[:n_lines]
@@ -162,7 +167,7 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 2, least_chars: int = 1, kee
         late = late.where(~(F.col("lead") & (F.col("part") == F.col("first_part"))))
     gone = marks.where(F.col("kind") == DROP).select("doc_id", "text_hash", "pos").unionByName(late.select("doc_id", "text_hash", "pos"))
     found = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
-    out = written(found.select("doc_id", "text_hash", F.size("at").alias("n_dropped"), packed("at", F.array_max("at") + 1).alias("keep_bitmap")), "bitmaps")
+    out = written(found.select("doc_id", "text_hash", F.size("at").alias("n_dropped"), packed("at").alias("keep_bitmap")), "bitmaps")
     dropped(lines, marks)
     return out
 

@@ -101,7 +101,7 @@ def test_first_lines_kept(spark):
 
 
 def test_bitmaps_are_whole():
-    keep = line_dedup.packed.func([0, 9], 10)
+    keep = line_dedup.bitmap(np.array([0, 9]))
     assert line_dedup.unpacked(keep, 12).tolist() == [False] + [True] * 8 + [False, True, True]
 
 
