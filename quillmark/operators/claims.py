@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLAIM = r"(?i)(?<![\w.])([$€£]?)\s?(\d[\d,]*(?:\.\d+)?)\s?(%|percent\b|thousand\b|million\b|billion\b|times\b|ms\b|gb\b|mb\b|tb\b|[kmbx]\b)?"
+# What makes a number a claim, which words before it name a version, which surroundings a date.
+CURRENCY = "[$€£₹]"
+UNITS = "thousand|million|billion|percent|times|ms|gb|mb|tb|[kmb%x]"
+VERSION_WORDS = r"python|node(?:\.js)?|java|version|v"
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+YEARS = (1900, 2100)
+#: Places by which a unit shifts the decimal point; the unit that stands for several spellings.
+SHIFT = {"k": 3, "thousand": 3, "m": 6, "million": 6, "b": 9, "billion": 9}
+KIND = {"%": "%", "percent": "%", "x": "x", "times": "x", "ms": "ms", "gb": "gb", "mb": "mb", "tb": "tb"}
+
+
+def _number(mark: str = "") -> str:
+    return rf"({mark}{CURRENCY})?({mark}\d[\d,]*(?:\.\d+)?)(?:\s*({mark}{UNITS}))?(?![A-Za-z])"
+
+
+#: One match a claim; groups: version word before it, date part before it, currency, number, unit, date part after it.
+#: The empty-width groups look around without taking text, so neighbouring claims never hide each other. They are tried
+#: only where a claim is certain: Java keeps what a look-behind captured even if the match fails later.
+_CLAIM = (
+    rf"(?i)(?<![\p{{L}}\p{{N}}_.])(?={_number('?:')})"
+    rf"(?:(?<=({VERSION_WORDS})\s{{0,15}}))?"
+    rf"(?:(?<=((?:19|20)\d{{2}}\s{{0,7}}[-/–]|(?:{MONTHS})[a-z]{{0,9}}\.?)\s{{0,9}}))?"
+    rf"{_number()}"
+    r"(?=(\s{0,7}[-/–]\s{0,7}(?:19|20)\d{2})?)"
+)
+
+
+def shifted(number: Column, places: Column) -> Column:
+    """A decimal string with its point moved right, without needless zeros: exact at any length."""
+    whole, part = F.split_part(number, F.lit("."), F.lit(1)), F.split_part(number, F.lit("."), F.lit(2))
+    part = F.rpad(part, F.greatest(F.length(part), places), F.lit("0"))
+    left = F.regexp_replace(F.concat(whole, F.substr(part, F.lit(1), places)), "^0+(?=.)", "")
+    right = F.regexp_replace(F.substr(part, places + 1), "0+$", "")
+    return F.when(right == "", left).otherwise(F.concat_ws(".", left, right))
 
 
 def numeric_claims(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, claim, n): claims are kind:value, scaled by k, m and b; versions and years in dates don't count."""
-    whole = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?i)(.{0,16}?)" + CLAIM), 0)
-    pre = F.regexp_extract("m", r"(?i)^(.{0,16}?)" + CLAIM, 1)
-    rows = docs.select(F.col(key), F.explode(whole).alias("m")).select(key, pre.alias("before"), *[F.regexp_extract("m", r"(?i)^(.{0,16}?)" + CLAIM, k + 1).alias(n) for k, n in ((1, "money"), (2, "number"), (3, "unit"))])
-    unit = F.lower("unit")
-    value = F.regexp_replace("number", ",", "").try_cast("decimal(38,6)")
-    scale = F.when(unit.isin("k", "thousand"), 1000).when(unit.isin("m", "million"), 1000000).when(unit.isin("b", "billion"), 1000000000).otherwise(1)
-    shown = F.regexp_replace(F.regexp_replace((value * scale).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    kind = F.when(F.col("money") != "", F.col("money")).when(unit.isin("%", "percent"), "%").when(unit.isin("x", "times"), "x").when(unit.isin("ms", "gb", "mb", "tb"), unit).otherwise("")
-    version = F.lower("before").rlike(r"(?:python|node(?:\.js)?|java|version|v)\s*$")
-    year = (unit == "") & (F.col("money") == "") & value.between(1900, 2100) & F.lower("before").rlike(r"(?:[/-]|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*|in|since|from|until|to)\s*$")
-    return rows.where(value.isNotNull() & ~version & ~year).select(key, F.concat(kind, F.lit(":"), shown).alias("claim")).groupBy(key, "claim").agg(F.count("*").alias("n"))
+    """(key, claim, n): claims are kind:value, scaled by k, m and b.
+
+    Numbers of versions don't count, nor bare years from 1900 to 2100 beside a year and a dash or after a month.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    groups = ["version", "before", "currency", "number", "unit", "after"]
+    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_CLAIM), k + 1).alias(g) for k, g in enumerate(groups)])
+    rows = docs.select(key, F.inline(found))
+    number, unit = F.replace("number", F.lit(","), F.lit("")), F.lower("unit")
+    told = lambda table, otherwise: F.coalesce(*[F.when(unit == u, F.lit(v)) for u, v in table.items()], F.lit(otherwise))
+    bare = (unit == "") & (F.col("currency") == "") & ~F.contains(number, F.lit("."))
+    dated = bare & number.try_cast("bigint").between(*YEARS) & ((F.col("before") != "") | (F.col("after") != ""))
+    kind = F.when(F.col("currency") != "", F.col("currency")).otherwise(told(KIND, ""))
+    claim = F.concat(kind, F.lit(":"), shifted(number, told(SHIFT, 0)))
+    return rows.where((F.col("version") == "") & ~F.coalesce(dated, F.lit(False))).select(key, claim.alias("claim")).groupBy(key, "claim").agg(F.count("*").alias("n"))
 
 
 def novel_claims(new: DataFrame, old: DataFrame, key: str) -> DataFrame:

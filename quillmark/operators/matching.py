@@ -15,11 +15,16 @@ LADDER = {
 }
 
 
+def steps(ranks: DataFrame) -> DataFrame:
+    """(department, position, rank) with lower_rank and higher_rank, the neighbours of the same department."""
+    w = Window.partitionBy("department").orderBy("position")
+    return ranks.withColumn("lower_rank", F.lead("rank").over(w)).withColumn("higher_rank", F.lag("rank").over(w))
+
+
 def ladder(spark) -> DataFrame:
-    """(department, position, rank, lower_rank, higher_rank)."""
+    """(department, position, rank, lower_rank, higher_rank) of LADDER."""
     rows = [(d, k, r) for d, ranks in LADDER.items() for k, r in enumerate(ranks)]
-    w = Window.partitionBy("department").orderBy("position")
-    return spark.createDataFrame(rows, "department string, position int, rank string").withColumn("lower_rank", F.lead("rank").over(w)).withColumn("higher_rank", F.lag("rank").over(w))
+    return steps(spark.createDataFrame(rows, "department string, position int, rank string"))
 
 
 def rank_eligibility(candidates: DataFrame, steps: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -20,15 +20,48 @@ def grams(docs: DataFrame, key: str, text: str, longest: int) -> DataFrame:
     return each.where(F.col("gram").isNotNull())
 
 
-def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int) -> DataFrame:
+#: A word or one sign, with the blanks before it.
+_TOKEN = r"((?U)\s*(?:\w+|[^\w\s]))"
+#: Most first tokens of a dictionary that are held as literals to thin out places before they become rows.
+LITERALS = 2_000
+
+
+def spaced(text: Column) -> Column:
+    """Words and single signs in lower case; those after a blank begin with one space."""
+    found = F.regexp_extract_all(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit(_TOKEN), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"(?U)^\s+", " "))
+
+
+def mentions(docs: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
     """(key, pos, term, canonical, status): spans of more than one canonical name are ambiguous.
 
-    ``dictionary`` has term (lower-case words joined by one space) and canonical.
+    ``dictionary`` has term and canonical; terms may hold signs and accents and count as whole terms: no word character
+    stands beside a term's word character, nor beside its sign. ``pos`` is the number of the first word or sign, from 1.
+    ``longest``, the most words and signs of a term, is found from the dictionary where it isn't given.
     """
     # how many names a term has is known from the dictionary: no window over the mentions
     names = dictionary.groupBy("term").agg(F.collect_set("canonical").alias("_names"))
-    terms = names.select("term", F.explode("_names").alias("canonical"), F.when(F.size("_names") > 1, "ambiguous").otherwise("evidenced").alias("status"))
-    return grams(docs, key, text, longest).join(terms, F.col("gram") == F.col("term")).drop("gram")
+    terms = names.select("term", F.array_join(spaced(F.col("term")), "").alias("_form"), spaced(F.col("term")).alias("_parts"), F.explode("_names").alias("canonical"), F.when(F.size("_names") > 1, "ambiguous").otherwise("evidenced").alias("status")).where("_form <> ''")
+    lengths = terms.select(F.size("_parts").alias("n"), F.get("_parts", F.lit(0)).alias("head"))
+    known = lengths.agg(F.max("n").alias("most"), F.approx_count_distinct("head").alias("heads")).first()
+    if not known.most:
+        return docs.select(key, F.lit(0).cast("bigint").alias("pos")).where("false").crossJoin(terms.select("term", "canonical", "status").where("false"))
+    heads = [r.head for r in lengths.select("head").distinct().limit(LITERALS + 1).collect()] if known.heads <= LITERALS else []
+    t = docs.select(F.col(key), spaced(F.col(text)).alias("t"))
+    bare = lambda x: F.ltrim(x)
+    word = lambda x: F.coalesce(x.rlike(r"(?U)^\w"), F.lit(False))
+    ends = lambda x: F.coalesce(x.rlike(r"(?U)\w$"), F.lit(False))
+    places = F.sequence(F.lit(1), F.size("t"))
+    if 0 < len(heads) <= LITERALS:  # only places where some term may begin become rows
+        places = F.filter(places, lambda i: bare(F.get("t", i - 1)).isin(heads))
+    at = t.where("size(t) > 0").select(key, F.inline(F.transform(places, lambda i: F.struct(i.alias("pos"), F.get("t", i - 2).alias("before"), F.slice("t", i, longest + 1 if longest else known.most + 1).alias("s")))))
+    n = F.sequence(F.lit(1), F.least(F.size("s"), F.lit(longest or known.most)))
+    gram = at.select(key, "pos", "before", F.get("s", F.lit(0)).alias("first"), F.inline(F.transform(n, lambda k: F.struct(bare(F.array_join(F.slice("s", 1, k), "")).alias("form"), F.get("s", k - 1).alias("last"), F.get("s", k).alias("after")))))
+    # a sign at a term's edge must not touch a word
+    open_left = ~(F.col("first").rlike(r"(?U)^[^\w\s]") & ends(F.col("before")))
+    open_right = ~(~ends(F.col("last")) & word(F.col("after")))
+    hit = gram.where(open_left & open_right).join(terms, F.col("form") == F.col("_form"))
+    return hit.select(key, F.col("pos").cast("bigint").alias("pos"), "term", "canonical", "status")
 
 
 def first_by_priority(found: DataFrame, key: str, priority: DataFrame) -> DataFrame:

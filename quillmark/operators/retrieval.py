@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-#: Most query vectors that are broadcast at once.
+_TERM = re.compile("[a-z0-9]+")
+#: About how many query vectors are broadcast at once.
 QUERY_BLOCK = 10_000
 
 
@@ -30,6 +37,80 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k1:
     return hit.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 
 
+#: Cells of the term by query matrix of one block of queries.
+CELLS = 1 << 24
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, most: int, digits: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_key, doc_key, score, rank): the best ``most`` documents of each stated query by score of ``digits`` digits, then by key.
+
+    The queries' terms are counted over all documents; then every document is scored against all queries in its task, and
+    only a task's best few of each query leave it, so no (query, document) pairs are shuffled however common a term is.
+    """
+    spark = docs.sparkSession
+    tf = term_counts(docs, doc_key, "text")
+    asked = queries.select(F.col(query_key).cast("bigint").alias("q"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where("q IS NOT NULL")
+    df = {r.term: r.df for r in tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).toLocalIterator()}
+    n, total = docs.agg(F.count("*"), F.sum(F.size(tokens(F.col("text"))))).first()
+    stated: dict[int, list[str]] = {}
+    for r in asked.toLocalIterator():
+        if r.term in df:
+            stated.setdefault(r.q, []).append(r.term)
+    blocks: list[tuple[list[int], dict[str, int], np.ndarray]] = []
+    ids: list[int] = []
+    terms: dict[str, int] = {}
+
+    def close() -> None:
+        m = np.zeros((len(terms), len(ids)))
+        for j, q in enumerate(ids):
+            for term in stated[q]:
+                m[terms[term], j] = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+        blocks.append((list(ids), dict(terms), m))
+
+    for q in sorted(stated):
+        new = [x for x in stated[q] if x not in terms]
+        if ids and (len(ids) + 1) * (len(terms) + len(new)) > CELLS:
+            close()
+            ids, terms, new = [], {}, stated[q]
+        terms.update({x: len(terms) + k for k, x in enumerate(new)})
+        ids.append(q)
+    if ids:
+        close()
+    mean = (total or 0) / max(n, 1)
+
+    def scores(ids, terms, m):
+        def run(batches):
+            best_key, best_doc = np.zeros((0, len(ids)), dtype=np.int64), np.zeros((0, len(ids)), dtype=np.int64)
+            best_score = np.zeros((0, len(ids)))
+            for batch in batches:
+                rows, docs_, score = [], [], []
+                for d, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist()):
+                    found = _TERM.findall((text or "").lower())
+                    c = Counter(x for x in map(terms.get, found) if x is not None)
+                    if c:
+                        at, f = np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), float, len(c))
+                        score.append((f * (k1 + 1) / (f + k1 * (1 - b + b * len(found) / mean))) @ m[at])
+                        docs_.append(d)
+                if not score:
+                    continue
+                score = np.concatenate([best_score, np.array(score)])
+                doc = np.concatenate([best_doc, np.repeat(np.array(docs_, dtype=np.int64)[:, None], len(ids), axis=1)])
+                rows = np.concatenate([best_key, np.floor(score[len(best_key):] * 10**digits + 0.5).astype(np.int64)])
+                order = np.lexsort((doc, -rows), axis=0)[:most]
+                best_key, best_doc, best_score = (np.take_along_axis(x, order, 0) for x in (rows, doc, score))
+            x, y = np.nonzero(best_score > 0)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[y]), pa.array(best_doc[x, y]), pa.array(best_score[x, y])], names=["q", "d", "s"])
+
+        return run
+
+    source = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("d"), F.col("text").alias("t"))
+    few = [source.mapInArrow(scores(*block), "q long, d long, s double") for block in blocks]
+    found = reduce(DataFrame.unionByName, few) if few else spark.createDataFrame([], "q long, d long, s double")
+    named = found.select(F.col("q").alias(query_key), F.col("d").alias(doc_key), F.round("s", digits).alias("score"))
+    return top(named, query_key, [F.desc("score"), F.col(doc_key)], most)
+
+
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -55,15 +136,18 @@ def metrics(ranked: DataFrame, by: str, relevance: str, rank: str, k: int) -> Da
 
 
 def best_match(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Stated query vectors (id, v) against all of another table: the best cosine, the least id of equals.
+    """Stated query vectors (id, v) against all of another table, but for the query's own id: the best cosine, the least id of equals.
 
-    The queries are the broadcast side: pass them in blocks of at most QUERY_BLOCK rows; the other table streams past.
+    Queries are numbered into blocks of QUERY_BLOCK; a block is the broadcast side, and the other table streams past it.
     """
-    if left.count() > QUERY_BLOCK:
-        raise ValueError(f"search in blocks of at most {QUERY_BLOCK} queries")
-    unit = lambda df: df.withColumn("_n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    a, b = unit(left).alias("a"), unit(right).alias("b")
+    unit = lambda df: df.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("_n"))
+    blocks = -(-left.count() // QUERY_BLOCK)
+    b = unit(right).alias("b")
     dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    s = b.crossJoin(F.broadcast(a)).select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), F.bround(F.try_divide(dot, F.col("a._n") * F.col("b._n")) + 0.0, 6).alias("similarity"))
-    best = s.groupBy("id").agg(F.max_by(F.struct("match_id", "similarity"), F.struct(F.col("similarity"), -F.col("match_id"))).alias("m"))
-    return best.select("id", "m.match_id", "m.similarity", F.when(F.col("m.similarity") >= least, "possible").otherwise("none").alias("state"))
+    best = []
+    for k in range(max(blocks, 1)):
+        a = unit(left.where(F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))) == k)).alias("a")
+        # a share of the stated queries, near QUERY_BLOCK of them
+        s = b.join(F.broadcast(a), F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), F.bround(F.try_divide(dot, F.col("a._n") * F.col("b._n")) + 0.0, 6).alias("similarity"))
+        best.append(s.groupBy("id").agg(F.max_by(F.struct("match_id", "similarity"), F.struct(F.col("similarity"), -F.col("match_id"))).alias("m")))
+    return reduce(DataFrame.unionByName, best).select("id", "m.match_id", "m.similarity", F.when(F.col("m.similarity") >= least, "possible").otherwise("none").alias("state"))

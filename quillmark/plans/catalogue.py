@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import claims, dataprep, intervals, lifecycle, lines, matching, mentions, retrieval, scorecard
+from ..operators import claims, dataprep, intervals, lifecycle, lines, matching, mentions, retrieval, scorecard, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,9 +133,9 @@ def doc_whole_term(spark, sf):
     return d.groupBy("lang").agg(F.count_if(text.has_term(d.text, "the")).alias("n_the"), F.count_if(text.has_term(d.text, "une")).alias("n_une"), F.count_if(text.has_any_part(d.text, ["ung"])).alias("n_part"))
 
 
-@query("doc_visible_chars", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS visible, trim(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', ' ', 'g')) AS head_key FROM documents")
+@query("doc_visible_chars", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS visible, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS key_sha256 FROM documents")
 def doc_visible_chars(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", text.visible_chars(F.col("text")).alias("visible"), text.skill_key(F.substring("text", 1, 80)).alias("head_key"))
+    return t(spark, sf, "documents").select("doc_id", text.visible_chars(F.col("text")).alias("visible"), F.sha2(text.skill_key(F.col("text")), 256).alias("key_sha256"))
 
 
 @query("license_lines", r"SELECT lower(trim(l)) AS licence, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '^(Licensed|Released) under ') GROUP BY 1")
@@ -205,8 +205,7 @@ def doc_budget_trim(spark, sf):
 # --- dictionary joins -----------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: x <> '')"
-_GRAMS = f"k AS (SELECT doc_id, {_TOK} AS t FROM documents), st AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM k), g AS (SELECT doc_id, pos, t[pos] AS gram FROM st UNION ALL SELECT doc_id, pos, t[pos] || ' ' || t[pos + 1] FROM st WHERE pos < len(t)), d AS (SELECT * FROM {values(DICTIONARY, 'term, canonical, priority')}), m AS (SELECT g.doc_id, g.pos, d.term, d.canonical, d.priority, CASE WHEN count(*) OVER (PARTITION BY g.doc_id, g.pos, d.term) > 1 THEN 'ambiguous' ELSE 'evidenced' END AS status FROM g JOIN d ON g.gram = d.term)"
-
+_GRAMS = f"k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s]'), lambda x: x <> '') AS t FROM documents), st AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM k), g AS (SELECT doc_id, pos, t[pos] AS gram FROM st UNION ALL SELECT doc_id, pos, t[pos] || ' ' || t[pos + 1] FROM st WHERE pos < len(t)), d AS (SELECT * FROM {values(DICTIONARY, 'term, canonical, priority')}), m AS (SELECT g.doc_id, g.pos, d.term, d.canonical, d.priority, CASE WHEN count(*) OVER (PARTITION BY g.doc_id, g.pos, d.term) > 1 THEN 'ambiguous' ELSE 'evidenced' END AS status FROM g JOIN d ON g.gram = d.term)"
 
 def _dictionary(spark):
     return spark.createDataFrame(DICTIONARY, "term string, canonical string, priority int")
@@ -214,20 +213,20 @@ def _dictionary(spark):
 
 @query("doc_dict_mentions", f"WITH {_GRAMS} SELECT doc_id, canonical, status, count(*) AS n, min(pos) AS first_pos FROM m GROUP BY ALL")
 def doc_dict_mentions(spark, sf):
-    m = mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", _dictionary(spark), 2)
+    m = mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", _dictionary(spark))
     return m.groupBy("doc_id", "canonical", "status").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 @query("doc_ambiguous_mentions", f"WITH {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m WHERE status = 'ambiguous' GROUP BY term")
 def doc_ambiguous_mentions(spark, sf):
-    m = mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", _dictionary(spark), 2).where("status = 'ambiguous'")
+    m = mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", _dictionary(spark)).where("status = 'ambiguous'")
     return m.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("doc_first_match_priority", f"WITH {_GRAMS} SELECT doc_id, arg_min(canonical, CAST(priority AS BIGINT) * 1000000000 + pos) AS canonical FROM m GROUP BY doc_id")
 def doc_first_match_priority(spark, sf):
     d = _dictionary(spark)
-    return mentions.first_by_priority(mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", d, 2), "doc_id", d.select("canonical", "priority").distinct())
+    return mentions.first_by_priority(mentions.mentions(t(spark, sf, "documents"), "doc_id", "text", d), "doc_id", d.select("canonical", "priority").distinct())
 
 
 @query("doc_keyword_coverage", f"WITH w AS (SELECT * FROM {values(WANTED, 'vac, term')}), k AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), n AS (SELECT vac, count(*) AS n_wanted FROM w GROUP BY vac) SELECT k.doc_id, w.vac, count(*) AS n_found, any_value(n.n_wanted) AS n_wanted, round_even(100.0 * count(*) / any_value(n.n_wanted), 1) AS coverage FROM k JOIN w USING (term) JOIN n ON w.vac = n.vac GROUP BY k.doc_id, w.vac")
@@ -250,7 +249,7 @@ o AS (SELECT p.doc_id, term FROM p JOIN k USING (doc_id) WHERE nxt IS NOT NULL),
 x AS (SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' AS change FROM (SELECT * FROM o EXCEPT SELECT * FROM n)) SELECT doc_id, change, count(*) AS n FROM x GROUP BY ALL""")
 def doc_fact_diff(spark, sf):
     d = t(spark, sf, "documents")
-    pairs = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("nxt")).where("nxt IS NOT NULL")
+    pairs = sequences.with_next(d, "source", "doc_id", "nxt").where("nxt IS NOT NULL").select("doc_id", "nxt")
     k = retrieval.term_counts(d, "doc_id", "text").select("doc_id", "term")
     old = pairs.join(k, "doc_id").select("doc_id", "term")
     new = pairs.join(k.withColumnRenamed("doc_id", "nxt"), "nxt").select("doc_id", "term")
@@ -267,8 +266,7 @@ top AS (SELECT item_id, doc_id, round(score, 4) AS score, CAST(row_number() OVER
 
 
 def _bm25_top(spark, sf):
-    s = retrieval.bm25(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "item_id", "doc_id").withColumn("score", F.round("score", 4))
-    return retrieval.top(s, "item_id", [F.desc("score"), F.col("doc_id")], 10)
+    return retrieval.bm25_top(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "item_id", "doc_id", 10)
 
 
 @query("bm25_topk", _BM + " SELECT * FROM top")
@@ -296,17 +294,17 @@ w AS (SELECT doc_id, term, coalesce(a.n, 0) * (ln(3.0 / (1 + (a.n IS NOT NULL)::
 SELECT doc_id, round(CASE WHEN sum(x * x) = 0 OR sum(y * y) = 0 THEN NULL ELSE sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) END, 4) AS cosine FROM w GROUP BY doc_id""")
 def tfidf_cosine(spark, sf):
     d = t(spark, sf, "documents")
-    pairs = d.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("nxt")).where("nxt IS NOT NULL")
+    pairs = sequences.with_next(d, "source", "doc_id", "nxt").where("nxt IS NOT NULL").select("doc_id", "nxt")
     both = pairs.join(d.select("doc_id", F.col("text").alias("a")), "doc_id").join(d.select(F.col("doc_id").alias("nxt"), F.col("text").alias("b")), "nxt")
     return retrieval.pair_tfidf(both, ["doc_id"], "a", "b").select("doc_id", F.round("cosine", 4).alias("cosine"))
 
 
-@query("emb_best_match", """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS id, e.vec_id AS match_id, round_even(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) + 0.0 AS similarity FROM q JOIN embeddings e ON e.vec_id % 100 <> 0)
+@query("emb_best_match", """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS id, e.vec_id AS match_id, round_even(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) + 0.0 AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
 SELECT id, match_id, similarity, CASE WHEN similarity >= 0.65 THEN 'possible' ELSE 'none' END AS state FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) = 1""")
 def emb_best_match(spark, sf):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     # every hundredth vector against all others, read once for each query block
-    return retrieval.best_match(e.where("id % 100 = 0"), e.where("id % 100 <> 0"), 0.65)
+    return retrieval.best_match(e.where("id % 100 = 0"), e, 0.65)
 
 
 # --- intervals --------------------------------------------------------------------------------------------------------
@@ -375,17 +373,19 @@ def document_validity(spark, sf):
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 _LAD = [(d, k, r) for d, ranks in matching.LADDER.items() for k, r in enumerate(ranks)]
-_CAND = [(1, "chief officer", 3.0), (2, "chief officer", 2.0), (3, "chief officer", 1.5), (4, "chief eto", 12.0), (5, "bosun", 4.0), (6, "deck cadet", 0.5), (7, "master", None)]
+_RANKS = ["chief officer", "chief eto", "bosun", "deck cadet", "master", "third engineer", "second eto"]
 
 
-@query("ladder_next_rank", f"SELECT department, position, rank, lead(rank) OVER (PARTITION BY department ORDER BY position) AS lower_rank, lag(rank) OVER (PARTITION BY department ORDER BY position) AS higher_rank FROM {values(_LAD, 'department, position, rank')}")
+@query("ladder_next_rank", "SELECT l_orderkey AS department, l_linenumber AS position, 'p' || l_partkey AS rank, lead('p' || l_partkey) OVER w AS lower_rank, lag('p' || l_partkey) OVER w AS higher_rank FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
 def ladder_next_rank(spark, sf):
-    return matching.ladder(spark)
+    return matching.steps(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("department"), F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("rank")))
 
 
-@query("rank_eligibility", f"WITH l AS (SELECT *, lead(rank) OVER (PARTITION BY department ORDER BY position) AS lower_rank FROM {values(_LAD, 'department, position, rank')}), c AS (SELECT * FROM {values(_CAND, 'id, rank, years')}), r AS (SELECT c.id, CASE WHEN l.department IS NULL OR c.years IS NULL THEN NULL WHEN l.department = 'eto' THEN 'third eto' WHEN c.years > 2 THEN c.rank WHEN c.years < 2 THEN l.lower_rank END AS recommended_rank FROM c LEFT JOIN l USING (rank)) SELECT *, CASE WHEN recommended_rank IS NULL THEN 'needs_review' ELSE 'review_recommended' END AS status FROM r")
+@query("rank_eligibility", f"WITH l AS (SELECT *, lead(rank) OVER (PARTITION BY department ORDER BY position) AS lower_rank FROM {values(_LAD, 'department, position, rank')}), c AS (SELECT o_orderkey AS id, CAST({_RANKS} AS VARCHAR[])[o_custkey % {len(_RANKS)} + 1] AS rank, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 50) / 10.0 END AS years FROM orders), r AS (SELECT c.id, CASE WHEN l.department IS NULL OR c.years IS NULL THEN NULL WHEN l.department = 'eto' THEN 'third eto' WHEN c.years > 2 THEN c.rank WHEN c.years < 2 THEN l.lower_rank END AS recommended_rank FROM c LEFT JOIN l USING (rank)) SELECT *, CASE WHEN recommended_rank IS NULL THEN 'needs_review' ELSE 'review_recommended' END AS status FROM r")
 def rank_eligibility(spark, sf):
-    c = spark.createDataFrame(_CAND, "id int, rank string, years double")
+    rank = F.get(F.array(*[F.lit(r) for r in _RANKS]), (F.col("o_custkey") % len(_RANKS)).cast("int"))
+    years = F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 50) / 10)
+    c = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), rank.alias("rank"), years.alias("years"))
     return matching.rank_eligibility(c, matching.ladder(spark)).select("id", "recommended_rank", "status")
 
 
@@ -405,13 +405,14 @@ def vacancy_match(spark, sf):
     return matching.match_summary(_items(spark, sf), ["cand"])
 
 
-_VAC = [("v1", "Chief Officer\\n\\nRequired:\\n- GMDSS GOC\\n- Minimum 2 years\\nPreferred:\\n* Chemical tanker\\n"), ("v2", "Cook\\nsome text\\nHACCP is mandatory\\nother\\n\\nFrench preferred")]
-
-
-@query("vacancy_state_machine")
+@query("vacancy_state_machine", """WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'preferred' ELSE 'mandatory' END AS late FROM orders)
+SELECT o_orderkey AS vac, 0 AS line_no, 'Order ' || o_orderkey AS line, 'unclear' AS priority FROM o UNION ALL SELECT o_orderkey, 3, o_orderpriority, 'mandatory' FROM o UNION ALL SELECT o_orderkey, 4, o_orderstatus, 'mandatory' FROM o WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 5, 'custom ' || o_custkey, late FROM o UNION ALL SELECT o_orderkey, 6, CASE WHEN o_orderkey % 5 = 0 THEN 'It is a must: ' || o_orderstatus ELSE 'more' END, CASE WHEN o_orderkey % 5 = 0 THEN 'mandatory' ELSE late END FROM o""")
 def vacancy_state_machine(spark, sf):
-    rows = [(v, x.replace("\\n", "\n")) for v, x in _VAC]
-    return matching.requirement_lines(spark.createDataFrame(rows, "vac string, text string"), "vac").select("vac", "line_no", "line", "priority")
+    k = F.col("o_orderkey")
+    lines_ = [F.concat(F.lit("Order "), k.cast("string")), F.lit(""), F.lit("Required:"), F.concat(F.lit("- "), "o_orderpriority"), F.when(k % 3 == 0, "Preferred skills:").otherwise(F.concat(F.lit("• "), "o_orderstatus")), F.concat(F.lit("* custom "), F.col("o_custkey").cast("string")), F.when(k % 5 == 0, F.concat(F.lit("It is a must: "), "o_orderstatus")).otherwise("more")]
+    vacancies = t(spark, sf, "orders").select(k.alias("vac"), F.concat_ws("\n", *lines_).alias("text"))
+    return matching.requirement_lines(vacancies, "vac").select("vac", "line_no", "line", "priority")
 
 
 @query("candidate_compare", f"WITH {_ITEMS}, f AS (SELECT o_custkey AS cust, count(*) FILTER (WHERE state = 'evidenced') AS demonstrated, count(*) FILTER (WHERE state = 'evidenced' AND priority = 'mandatory') AS mandatory, max(l_linenumber) AS vessels FROM it JOIN orders ON cand = o_orderkey GROUP BY o_custkey), c AS (SELECT f.*, c_mktsegment AS segment FROM f JOIN customer ON cust = c_custkey) SELECT segment, cust, demonstrated, CAST(row_number() OVER (PARTITION BY segment ORDER BY demonstrated DESC, mandatory DESC, vessels DESC, cust) AS INTEGER) AS position FROM c")
@@ -445,9 +446,9 @@ def feedback_validation(spark, sf):
     return j.sparkSession.createDataFrame([("no_quality",), ("too_short",), ("bad_ref",)], "rule string").join(n, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("bipartite_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey % 400 AS b FROM lineitem WHERE l_partkey % 400 // 4 = l_suppkey % 100), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a) SELECT node, min(root) AS component FROM r GROUP BY node")
+@query("bipartite_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a) SELECT node, min(root) AS component FROM r GROUP BY node")
 def bipartite_components(spark, sf):
-    e = t(spark, sf, "lineitem").where("l_partkey % 400 div 4 = l_suppkey % 100").select(F.col("l_suppkey").alias("a"), (F.lit(1000000) + F.col("l_partkey") % 400).alias("b")).distinct()
+    e = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
     return dataprep.components(e)
 
 
@@ -502,7 +503,10 @@ def admission_running(spark, sf):
     return lifecycle.admissions(t(spark, sf, "events"), "user_id", "ts", "event_id", change, 5).select("user_id", "event_id", "running", "admitted")
 
 
-@query("events_dedup_24h", "WITH d AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, user_id, event_type FROM d WHERE p IS NULL OR date_diff('microsecond', p, ts) > 86400000000")
+@query("events_dedup_24h", """WITH RECURSIVE k AS (SELECT user_id, event_type, event_id, ts, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+nx AS (SELECT a.user_id, a.event_type, a.n, min(b.n) AS nxt FROM k a JOIN k b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts + INTERVAL 24 HOUR GROUP BY ALL),
+r AS (SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM k WHERE n = 1 UNION ALL SELECT r.user_id, r.event_type, nx.nxt FROM r JOIN nx ON r.user_id = nx.user_id AND r.event_type = nx.event_type AND r.n = nx.n)
+SELECT event_id, user_id, event_type FROM r JOIN k USING (user_id, event_type, n)""")
 def events_dedup_24h(spark, sf):
     return lifecycle.first_in_window(t(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id", 86400).select("event_id", "user_id", "event_type")
 

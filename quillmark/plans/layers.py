@@ -93,11 +93,13 @@ _ROLES = ["the", "der und", "house of", "de la"]
 _TW = "list_filter(list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')), lambda w: w NOT IN ('a', 'an', 'and', 'the', 'of', 'for', 'in', 'to', 'at'))"
 
 
-@query("doc_title_match", f"""WITH d AS (SELECT doc_id, role, left(coalesce(text, ''), 60) AS h, substr(coalesce(text, ''), 61, 400) AS s FROM documents, {values([(r,) for r in _ROLES], 'role')}),
+@query("doc_title_match", f"""WITH d AS (SELECT doc_id, role, split_part(coalesce(text, ''), chr(10), 1) AS h, array_to_string(string_split(coalesce(text, ''), chr(10))[2:], chr(10)) AS s FROM documents, {values([(r,) for r in _ROLES], 'role')}),
 m AS (SELECT *, '(^|[^\\p{{L}}\\p{{N}}_])' || role || '($|[^\\p{{L}}\\p{{N}}_])' AS p FROM d)
 SELECT doc_id, role, CAST(CASE WHEN regexp_matches(lower(h), p) THEN 100 WHEN regexp_matches(lower(s), p) THEN 75 ELSE round_even(coalesce(len(list_intersect({_TW.format('role')}, {_TW.format('h')})) / nullif(len({_TW.format('role')}), 0), 0) * 50, 1) END AS DOUBLE) AS title_match FROM m""")
 def doc_title_match(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("h"), F.substring("text", 61, 400).alias("s"), F.explode(F.array(*[F.lit(r) for r in _ROLES])).alias("role"))
+    # the first line is the headline, all others the summary
+    whole = F.coalesce("text", F.lit(""))
+    d = t(spark, sf, "documents").select("doc_id", F.substring_index(whole, "\n", 1).alias("h"), F.array_join(F.slice(F.split(whole, "\n"), 2, 1 << 30), "\n").alias("s"), F.explode(F.array(*[F.lit(r) for r in _ROLES])).alias("role"))
     return d.select("doc_id", "role", resume.title_match(F.col("role"), F.col("h"), F.col("s")).alias("title_match"))
 
 

@@ -1,6 +1,7 @@
 """Golden cases of the core library."""
 
 import datetime
+import decimal
 import io
 import zipfile
 
@@ -142,3 +143,93 @@ def test_stream_equals_batch(spark, tmp_path):
     assert lifecycle.first_in_window(df, ["h"], "ts", "event_id", 86400).count() == 3
     got = drained(jobs.windowed(stream(), "ts", ["h"], "6 hours"), "win", "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.windowed(df, "ts", ["h"], "6 hours").collect()))
+
+
+def plain_claims(text):
+    """Numeric claims by a scan from the left, for texts of ASCII digits."""
+    import re
+
+    out = {}
+    for m in re.finditer(r"(?<![\w.])([$€£₹])?(\d[\d,]*(?:\.\d+)?)(?:\s*(thousand|million|billion|percent|times|ms|gb|mb|tb|[kmbx%]))?(?![A-Za-z])", text, re.I):
+        before, after = text[: m.start()], text[m.end() :]
+        unit, number = (m[3] or "").lower(), m[2].replace(",", "")
+        if re.search(r"(python|node(\.js)?|java|version|v)\s*$", before[-16:], re.I):
+            continue
+        near_year = re.search(r"(19|20)\d\d\s*[-/–]\s*$", before[-12:]) or re.match(r"\s*[-/–]\s*(19|20)\d\d", after[:12]) or re.search(r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*$", before[-12:], re.I)
+        if not unit and not m[1] and "." not in number and 1900 <= int(number) <= 2100 and near_year:
+            continue
+        value = decimal.Decimal(number) * {"k": 10**3, "thousand": 10**3, "m": 10**6, "million": 10**6, "b": 10**9, "billion": 10**9}.get(unit, 1)
+        kind = m[1] or {"%": "%", "percent": "%", "x": "x", "times": "x"}.get(unit, unit if unit in ("ms", "gb", "mb", "tb") else "")
+        shown = f"{value:f}".rstrip("0").rstrip(".") if "." in f"{value:f}" else f"{value:f}"
+        out[f"{kind}:{shown}"] = out.get(f"{kind}:{shown}", 0) + 1
+    return out
+
+
+def test_claims_against_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(4)
+    part = lambda: rng.choice(["Sold", "in", "since", "May", "Jan.", "python", "v", "node.js", "to", "-", "–", "/", "2018", "2020", "1999 ", "1899", "12", "3.50", "1,200", "007", "$5", "₹ 9", "€1.25m", "40%", "7 percent", "2 billion", "3x", "10k", "50kg", "9 ms", "1.2.3", "a5", "x", "."])
+    texts = ["Sold 500 units in 2020", "grew since 2019", "2018 - 2020", "2018-2020 and 2021", "May 2020, 2 times", "over ₹5 and $1.2M", "0.50 00"] + ["".join(part() + rng.choice([" ", " ", "", "  "]) for _ in range(8)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in claims.numeric_claims(df, "id").collect():
+        got.setdefault(r.id, {})[r.claim] = r.n
+    for k, x in enumerate(texts):
+        assert got.get(k, {}) == plain_claims(x), x
+
+
+def test_mentions_with_signs_and_accents(spark):
+    import random
+    import re
+
+    terms = ["c++", "vi/2", "café", "of the", "the", ".net", "m/v", "é"]
+    rng = random.Random(5)
+    bits = [*terms, "C++", "Café", "cafés", "asp.net", "c++x", "c ++", "of  the", "vi/22", "xm/v", "x", "(the)", "thé", "m/v."]
+    texts = [rng.choice(["", " "]).join(rng.choice(bits) for _ in range(6)) for _ in range(200)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    words = spark.createDataFrame([(x, x) for x in terms], "term string, canonical string")
+    got = {}
+    for r in mentions.mentions(df, "id", "text", words).collect():
+        got[r.id, r.term] = got.get((r.id, r.term), 0) + 1
+    want = {(k, x): n for k, t in enumerate(texts) for x in terms if (n := len(re.findall(rf"(?<!\w){re.escape(x)}(?!\w)".replace(r"\ ", r"\s+"), (t or "").lower())))}
+    assert got == want
+
+
+def test_first_in_window_counts_from_accepted_events(spark):
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda h: t + datetime.timedelta(hours=h)
+    rows = [("a", k, at(h)) for k, h in enumerate([0, 20, 40, 64, 64.5, 88.4])] + [(None, 20, at(1)), (None, 21, at(2)), ("b", 30, None), ("b", 31, at(5))]
+    df = spark.createDataFrame(rows, "h string, event_id int, ts timestamp")
+    assert {r.event_id for r in lifecycle.first_in_window(df.repartition(3), ["h"], "ts", "event_id", 86400).collect()} == {0, 2, 4, 20, 31}
+
+
+def test_next_in_group_across_partitions(spark):
+    from quillmark.operators import sequences
+
+    rows = [("hot", k) for k in range(500)] + [("a", 1), ("z", 5), (None, 3), (None, 4), ("z", 5)]
+    got = sequences.with_next(spark.createDataFrame(rows, "g string, n int").repartition(3), "g", "n", "nxt").collect()
+    assert len(got) == len(rows) and all(r.nxt == (r.n + 1 if r.n < 499 else None) for r in got if r.g == "hot")
+    assert sorted((r.n, r.nxt or 0) for r in got if r.g == "z") == [(5, 0), (5, 5)] and [r.nxt for r in got if r.g is None and r.n == 3] == [4]
+
+
+def test_best_match_in_blocks(spark, monkeypatch):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = {r.id: r.match_id for r in retrieval.best_match(df, df, 0.5).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert {r.id: r.match_id for r in retrieval.best_match(df, df, 0.5).collect()} == want and len(want) == 60
+    assert all(k != m for k, m in want.items())
+
+
+def test_bm25_top_equals_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice("the of a b c d e f g".split()) for _ in range(rng.randint(0, 30)))) for k in range(120)] + [(200, None)], "d long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "the a"), (2, "b c zz"), (3, ""), (4, "g")], "q long, text string")
+    want = retrieval.top(retrieval.bm25(asked, docs, "q", "d").withColumn("score", F.round("score", 4)), "q", [F.desc("score"), F.col("d")], 5)
+    want = sorted(map(tuple, want.select("q", "d", "score", "rank").collect()))
+    for cells in (1 << 24, 3):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        assert sorted(map(tuple, retrieval.bm25_top(asked, docs, "q", "d", 5).select("q", "d", "score", "rank").collect())) == want
