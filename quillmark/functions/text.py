@@ -1,11 +1,14 @@
-"""String expressions as Columns; no Python runs on the executors."""
+"""String expressions as Columns. Python runs on the executors only for the compatibility forms of texts that aren't ASCII."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # These patterns and their order decide what is redacted.
 PII_PATTERNS = [r"[\w.+-]{4,}@[\w-]+\.\w+", r"[+]?\d[\d\s\-().]{8,}\d", r"\b[A-Z]\d{7,8}\b", r"\b\d{2}[A-Z]{2}\d{5,7}\b", r"\b\d{2}[A-Z]{2}\d{4}\b"]
@@ -110,3 +113,38 @@ def around(text: Column, start: Column, end: Column, margin: int = 100, most: in
     """The text within ``margin`` characters of a span, at most ``most``."""
     a = F.greatest(start - margin, F.lit(0))
     return F.substring(F.substring(text, a + 1, end + margin - a), F.lit(1), F.lit(most))
+
+
+@F.arrow_udf(StringType())
+def _compatible(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
+
+
+def normalized(text: Column) -> Column:
+    """Compatibility forms, without four inline tags, words joined at hyphenated line ends and out of spaced letters, blanks as one, lower case."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.rlike(r"[^\x00-\x7F]"), _compatible(F.when(t.rlike(r"[^\x00-\x7F]"), t))).otherwise(t)
+    t = F.regexp_replace(t, r"(?i)</?(?:strong|em|u|a)\b[^>]*>", "")
+    t = F.regexp_replace(t, r"(?U)(\w)-\n\s*(\w)", "$1-$2")
+    t = _unspaced(t)
+    return F.trim(F.lower(F.regexp_replace(t, "[ \t\u00a0]+", " ")), F.lit(" \t\n\r"))
+
+
+def _unspaced(t: Column) -> Column:
+    """Single characters parted by one blank each, three or more in a row, joined; other words stay."""
+    line = lambda x: F.array_join(F.transform(_letter_runs(x), lambda r: F.when(F.size(r) >= 3, F.array_join(r, "")).otherwise(F.array_join(r, " "))), " ")
+    spaced = r"(?U)(?<!\S)\w \w \w(?!\S)"
+    return F.when(t.rlike(spaced), F.array_join(F.transform(F.split(t, "\n"), lambda x: F.when(x.rlike(spaced), line(x)).otherwise(x)), "\n")).otherwise(t)
+
+
+def _letter_runs(line: Column) -> Column:
+    """The words of a line, with neighbouring single characters in one list."""
+    single = lambda w: w.rlike(r"(?U)^\w$")
+
+    def step(out, w):
+        last = F.element_at(out, -1)
+        joins = F.coalesce((F.size(out) > 0) & single(w) & single(F.element_at(last, -1)), F.lit(False))
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.array(w))))).otherwise(F.concat(out, F.array(F.array(w))))
+
+    words = F.split(line, " ")
+    return F.aggregate(words, F.array().cast("array<array<string>>"), step)

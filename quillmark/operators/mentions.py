@@ -76,3 +76,14 @@ def coverage(docs: DataFrame, key: str, text: str, wanted: DataFrame, by: str) -
     have = docs.select(F.col(key), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     hit = have.join(wanted, "term").groupBy(key, by).agg(F.count("*").alias("n_found"))
     return hit.join(total, by).withColumn("coverage", F.bround(100.0 * F.col("n_found") / F.col("n_wanted"), 1))
+
+
+def missing(docs: DataFrame, key: str, text: str, wanted: DataFrame, by: str) -> DataFrame:
+    """Per (key, by): the wanted terms that the text lacks, in order; every document meets every list.
+
+    ``wanted`` is a stated dictionary: its lists become literals, so no row is shuffled.
+    """
+    lists = wanted.groupBy(by).agg(F.sort_array(F.collect_set("term")).alias("terms")).orderBy(by).collect()
+    rows = F.array(*[F.struct(F.lit(r[by]).alias(by), F.array(*[F.lit(x) for x in r.terms]).alias("_terms")) for r in lists])
+    have = docs.select(F.col(key), F.array_distinct(tokens(F.col(text))).alias("_have"))
+    return have.select(key, "_have", F.inline(rows)).select(key, by, F.array_except("_terms", "_have").alias("missing"))

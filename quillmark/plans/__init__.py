@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import composed, fields, layers
+from . import composed, fields, layers, reports
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "composed", "fields", "layers"]
+__all__ = ["QUERIES", "SQL", "composed", "fields", "layers", "reports"]
