@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import reports, sequences
+from ..operators.lineage import checkpointed
 from .catalogue import _CARD, query, t
 
 _FACTS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '\d[\d,.]*%?'), lambda x: replace(regexp_replace(x, '[,.]+(%?)$', '\1'), ',', '')))"
@@ -24,7 +24,10 @@ dx AS (SELECT *, len(list_filter(n, lambda x: NOT list_contains(old, x))) AS add
 SELECT doc_id, CASE WHEN added > 0 THEN 'factual_integrity_risk' WHEN after < before OR removed > 0 THEN 'degraded' WHEN after > before THEN 'improved' ELSE 'neutral' END AS verdict,
  CASE WHEN after - before >= 15 THEN 'full' WHEN after > before THEN 'partial' ELSE 'none' END AS quality, after - before < 15 AS retry, CASE WHEN after < before OR added > 0 THEN 'original' ELSE 'rewritten' END AS kept FROM dx""")
 def rewrite_decisions(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    r = reports.layered(t(spark, sf, "documents"), "text", F.lit(None).cast("string")).select("doc_id", "source", F.col("total").alias("after"), F.col("facts").alias("new_facts"))
-    pairs = r.withColumn("before", F.lag("after").over(w)).withColumn("old_facts", F.lag("new_facts").over(w)).where(F.col("before").isNotNull())
+    d = t(spark, sf, "documents")
+    # written once, read for both sides; each source's neighbours are found without a task for it
+    r = checkpointed(reports.layered(d, "text", F.lit(None).cast("string")).select("doc_id", "total", "facts"))
+    near = sequences.with_next(d, "source", "doc_id", "nxt").where("nxt IS NOT NULL")
+    old = near.join(r, "doc_id").select(F.col("nxt").alias("doc_id"), F.col("total").alias("before"), F.col("facts").alias("old_facts"))
+    pairs = old.join(r.select("doc_id", F.col("total").alias("after"), F.col("facts").alias("new_facts")), "doc_id")
     return reports.decided(pairs).select("doc_id", "verdict", "quality", "retry", "kept")
