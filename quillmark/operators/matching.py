@@ -16,8 +16,8 @@ LADDER = {
 
 
 def steps(ranks: DataFrame) -> DataFrame:
-    """(department, position, rank) with lower_rank and higher_rank, the neighbours of the same department."""
-    w = Window.partitionBy("department").orderBy("position")
+    """(department, position, rank) with lower_rank and higher_rank, the neighbours of the same department; equal positions by rank."""
+    w = Window.partitionBy("department").orderBy("position", "rank")
     return ranks.withColumn("lower_rank", F.lead("rank").over(w)).withColumn("higher_rank", F.lag("rank").over(w))
 
 

@@ -376,7 +376,7 @@ _LAD = [(d, k, r) for d, ranks in matching.LADDER.items() for k, r in enumerate(
 _RANKS = ["chief officer", "chief eto", "bosun", "deck cadet", "master", "third engineer", "second eto"]
 
 
-@query("ladder_next_rank", "SELECT l_orderkey AS department, l_linenumber AS position, 'p' || l_partkey AS rank, lead('p' || l_partkey) OVER w AS lower_rank, lag('p' || l_partkey) OVER w AS higher_rank FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+@query("ladder_next_rank", "SELECT l_orderkey AS department, l_linenumber AS position, 'p' || l_partkey AS rank, lead('p' || l_partkey) OVER w AS lower_rank, lag('p' || l_partkey) OVER w AS higher_rank FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey)")
 def ladder_next_rank(spark, sf):
     return matching.steps(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("department"), F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("rank")))
 
