@@ -56,3 +56,12 @@ def months_between_merged(start: Column, end: Column) -> Column:
 
 def validity(expiry: Column, as_of: Column, soon_days: int = 183) -> Column:
     return F.when(expiry.isNull(), "EXPIRY_UNKNOWN").when(expiry < as_of, "EXPIRED").when(F.date_diff(expiry, as_of) <= soon_days, "EXPIRING_SOON").otherwise("VALID")
+
+
+# Fixed value: the two ends of a range.
+RANGE_END = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{1,2}/\d{4}|\d{4}"
+
+
+def first_range(text: Column) -> Column:
+    """The first range of dates in the text as it stands there; empty if none."""
+    return F.coalesce(F.regexp_extract(text, rf"(?i)(?:{RANGE_END})\s*[-–]\s*(?:{RANGE_END}|Present|Current)", 0), F.lit(""))

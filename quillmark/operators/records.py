@@ -30,10 +30,10 @@ def person_name(text: Column, banned: list[str]) -> Column:
 
 
 def has_phone(text: Column) -> Column:
-    """Some run of at least 7 digits whose groups aren't all parts of dates (one or two digits, or a year)."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([+(]?\d[\d ().-]{5,}\d)"), 1)
+    """Some run of at least 7 digits whose groups aren't all parts of dates (a month, or a year)."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\+?\d[\d\s().-]{5,}\d)"), 1)
     groups = lambda r: F.regexp_extract_all(r, F.lit(r"(\d+)"), 1)
-    return F.exists(runs, lambda r: (F.length(F.regexp_replace(r, r"\D", "")) >= 7) & F.exists(groups(r), lambda g: ~g.rlike(r"^(?:\d{1,2}|(?:19|20)\d{2})$")))
+    return F.exists(runs, lambda r: (F.length(F.regexp_replace(r, r"\D", "")) >= 7) & F.exists(groups(r), lambda g: ~g.rlike(r"^(?:(?:19|20)\d{2}|0?[1-9]|1[0-2])$")))
 
 
 def is_heading(line: Column, names: list[str]) -> Column:
