@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, divergence, exact_dedup, html_main, line_dedup, mixing, near_dedup, quotation, resampling, token_counts, toxicity
+from . import collocation, decontamination, divergence, exact_dedup, html_main, line_dedup, mixing, near_dedup, quotation, resampling, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
     "op12_divergence": divergence.op12_divergence,
+    "op13_collocations": collocation.op13_collocations,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op12_divergence": divergence.OP12_SQL,
+    "op13_collocations": collocation.OP13_SQL,
 }
