@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocation, decontamination, divergence, exact_dedup, html_main, line_dedup, mixing, near_dedup, quotation, resampling, token_counts, toxicity
+from . import collocation, decontamination, divergence, exact_dedup, html_main, line_dedup, mixing, near_dedup, quality_rules, quotation, resampling, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_divergence": divergence.op12_divergence,
     "op13_collocations": collocation.op13_collocations,
 }
