@@ -133,3 +133,39 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op11_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")).drop("chars_distance", "words_distance")
+
+
+#: The constants are written out, so that a wrong one shows.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w1, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+g AS (SELECT r, i, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w1, w2, w3) AS n FROM g WHERE w3 IS NOT NULL) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) ks(k) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+x AS (SELECT r, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS s FROM d),
+c AS (SELECT r, length(s) AS word_chars, length(regexp_replace(s, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(regexp_replace(s, '[^a-z]', '', 'g')) AS c1, length(regexp_replace(s, '[^A-Z]', '', 'g')) AS c2, length(regexp_replace(s, '[^0-9]', '', 'g')) AS c3,
+  length(regexp_replace(s, '[\x00-\x7F]', '', 'g')) AS c4, length(regexp_replace(s, '[^.,;:!?''"()\-]', '', 'g')) AS c5 FROM x),
+n AS (SELECT r, count(*) AS n_words FROM w GROUP BY r),
+tt AS (SELECT r, lang, unnest(regexp_extract_all(lower(text), '[^\x00-\x60\x7B-\x7F]+')) AS term FROM d),
+nt AS (SELECT r, count(*) AS n_terms FROM tt GROUP BY r),
+common AS (SELECT lang, term FROM (SELECT lang, term, count(DISTINCT r) AS n FROM tt GROUP BY lang, term) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 50),
+f AS (SELECT tt.r, tt.lang, term, count(*) AS n FROM tt JOIN common USING (lang, term) GROUP BY ALL),
+b AS (SELECT d.r, d.doc_id, d.lang, coalesce(n_words, 0) AS n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  c1, c2, c3, c4, c5, word_chars - c1 - c2 - c3 - c4 - c5 AS c6, coalesce(n_terms, 0) AS n_terms FROM d JOIN c USING (r) LEFT JOIN n USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r) LEFT JOIN nt USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+good AS (SELECT * FROM v WHERE NOT base_failed),
+ref AS (SELECT lang, count(*) AS n, median(round(c1 * 1000 / word_chars)::INT) AS q1, median(round(c2 * 1000 / word_chars)::INT) AS q2, median(round(c3 * 1000 / word_chars)::INT) AS q3,
+  median(round(c4 * 1000 / word_chars)::INT) AS q4, median(round(c5 * 1000 / word_chars)::INT) AS q5, median(round(c6 * 1000 / word_chars)::INT) AS q6 FROM good GROUP BY lang HAVING count(*) >= 20),
+spread AS (SELECT f.lang, f.term, sum(f.n * 1000000 // good.n_terms) AS share FROM f JOIN good USING (r) GROUP BY ALL),
+q AS (SELECT ref.lang, common.term, coalesce(share, 0) / (ref.n * 1000000.0) AS q FROM ref JOIN common USING (lang) LEFT JOIN spread ON spread.lang = ref.lang AND spread.term = common.term),
+bins AS (SELECT r, unnest([c1, c2, c3, c4, c5, c6]) / word_chars AS p, unnest([q1, q2, q3, q4, q5, q6]) / (q1 + q2 + q3 + q4 + q5 + q6) AS q FROM v JOIN ref USING (lang) WHERE word_chars > 0),
+dc AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS chars_distance FROM bins GROUP BY r),
+known AS (SELECT v.r, coalesce(f.n, 0) / v.n_terms AS p, q.q FROM v JOIN q USING (lang) LEFT JOIN f ON f.r = v.r AND f.term = q.term WHERE v.n_terms > 0),
+every AS (SELECT * FROM known UNION ALL SELECT r, 1 - sum(p), 1 - sum(q) FROM known GROUP BY r),
+dw AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS words_distance FROM every GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(CASE WHEN n_words < 120 THEN chars_distance > 0.3 OR (chars_distance > 0.18 AND words_distance > 0.37) ELSE chars_distance > 0.18 END, FALSE) OR coalesce(n_terms >= 200 AND words_distance > 0.3, FALSE)) AS kept
+FROM v LEFT JOIN dc USING (r) LEFT JOIN dw USING (r)
+"""
