@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import composed, fields, layers, parsing, reports
+from . import composed, entities, fields, layers, parsing, reports
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "composed", "fields", "layers", "parsing", "reports"]
+__all__ = ["QUERIES", "SQL", "composed", "entities", "fields", "layers", "parsing", "reports"]
