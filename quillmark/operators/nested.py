@@ -12,6 +12,7 @@ WRAPPERS = ["resume", "result", "data", "output", "rewritten_resume"]
 BULLETS_MOST, NAME_MOST = 24, 200
 LIMITS = {"officer": {"skills": 18, "roles": 6, "words": 1150}, "crew": {"skills": 15, "roles": 3, "words": 600}}
 SENTENCES_MOST, BULLETS_EACH = 3, 3
+SKILLS_FLOOR, BULLETS_FLOOR = 10, 2
 
 
 def json_text(raw: Column) -> Column:
@@ -123,24 +124,44 @@ def first_distinct(items: Column, most: int) -> Column:
     return F.slice(F.array_distinct(items), 1, most)
 
 
-def limited(content: Column, officer: Column) -> Column:
-    """STRUCT(skills, summary, roles) held to the limits of officers or crews; then bullets go, from the last role on, while too many words stand.
+def _words(items: Column) -> Column:
+    """Words of each entry of a list."""
+    return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"\S+")))
 
-    ``content`` has skills, summary (a list of sentences) and roles (ARRAY<STRUCT<title, bullets>>).
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+
+
+def limited(rows: DataFrame, content: str, officer: Column, name: str) -> DataFrame:
+    """Rows with ``name``: a record held to the limits of officers or crews in number and in words.
+
+    ``content`` is a struct of skills, summary (sentences), certifications, education, languages (lists of strings) and
+    roles (ARRAY<STRUCT<title, company, bullets>>); null lists are empty, null strings have no words. After the limits
+    in number, and while too many words stand, skills go from the end down to SKILLS_FLOOR, then third bullets from the
+    first role on, down to BULLETS_FLOOR each. No role, certificate or other entry goes; ``compact`` says that the record
+    is still too long, ``n_words`` how long it is. What is dropped follows from running sums, not from a loop.
     """
     pick = lambda k: F.when(officer, LIMITS["officer"][k]).otherwise(LIMITS["crew"][k])
-    words = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.size(F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")))
-    skills, summary = F.slice(content["skills"], F.lit(1), pick("skills")), F.slice(content["summary"], 1, SENTENCES_MOST)
-    roles = F.transform(F.slice(content["roles"], F.lit(1), pick("roles")), lambda r: F.struct(r["title"].alias("title"), F.slice(r["bullets"], 1, BULLETS_EACH).alias("bullets")))
-    flat = F.flatten(F.transform(roles, lambda r, i: F.transform(r["bullets"], lambda x: F.struct(i.alias("role"), x.alias("bullet")))))
-    left = pick("words") - words(skills) - words(summary) - words(F.transform(roles, lambda r: r["title"]))
-    start = F.struct(left.cast("int").alias("left"), F.array().cast("array<struct<role:int,bullet:string>>").alias("kept"), F.lit(False).alias("full"))
-
-    def step(s, x):
-        cost = words(F.array(x["bullet"]))
-        fits = ~s["full"] & (cost <= s["left"])
-        return F.struct(F.when(fits, s["left"] - cost).otherwise(s["left"]).alias("left"), F.when(fits, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"), (~fits).alias("full"))
-
-    kept = F.aggregate(flat, start, step)["kept"]
-    trimmed = F.transform(roles, lambda r, i: F.struct(r["title"].alias("title"), F.transform(F.filter(kept, lambda x: x["role"] == i), lambda x: x["bullet"]).alias("bullets")))
-    return F.struct(skills.alias("skills"), summary.alias("summary"), trimmed.alias("roles"))
+    c, none = F.col(content), F.array().cast("array<string>")
+    full = lambda x: F.coalesce(x, none)
+    roles = F.transform(F.slice(F.filter(F.coalesce(c["roles"], F.array()), lambda r: r.isNotNull()), F.lit(1), pick("roles")), lambda r: F.struct(r["title"].alias("title"), r["company"].alias("company"), F.slice(full(r["bullets"]), 1, BULLETS_EACH).alias("bullets")))
+    d = rows.withColumns({"_skills": F.slice(full(c["skills"]), F.lit(1), pick("skills")), "_summary": F.slice(full(c["summary"]), 1, SENTENCES_MOST), "_roles": roles, "_limit": pick("words")})
+    fixed = sum((_total(_words(x)) for x in (F.col("_summary"), c["certifications"], c["education"], c["languages"])), F.lit(0)) + F.when(F.size("_roles") > 0, 10 + 8 * F.size("_roles")).otherwise(0)
+    titles = _total(_words(F.transform("_roles", lambda r: r["title"]))) + _total(_words(F.transform("_roles", lambda r: r["company"])))
+    bullets = F.transform("_roles", lambda r: _words(r["bullets"]))
+    d = d.withColumns({"_fixed": fixed + titles, "_skill_words": _words(F.col("_skills")), "_bullet_words": bullets})
+    first = lambda n: _total(F.slice("_skill_words", F.lit(1), n))
+    d = d.withColumn("_all_bullets", _total(F.flatten("_bullet_words")))
+    floor = F.least(F.size("_skills"), F.lit(SKILLS_FLOOR))
+    fits = F.filter(F.sequence(floor, F.size("_skills")), lambda n: F.col("_fixed") + F.col("_all_bullets") + first(n) <= F.col("_limit"))
+    d = d.withColumn("_n_skills", F.coalesce(F.array_max(fits), floor))
+    d = d.withColumn("_over", F.col("_fixed") + F.col("_all_bullets") + first(F.col("_n_skills")) - F.col("_limit"))
+    spare = F.transform("_bullet_words", lambda w: _total(F.slice(w, BULLETS_FLOOR + 1, BULLETS_EACH)))
+    d = d.withColumn("_spare", spare)
+    before = lambda i: _total(F.slice("_spare", F.lit(1), i))
+    cut = lambda r, i: (F.size(r["bullets"]) > BULLETS_FLOOR) & (F.col("_over") > before(i))
+    kept = F.transform("_roles", lambda r, i: F.struct(r["title"].alias("title"), r["company"].alias("company"), F.when(cut(r, i), F.slice(r["bullets"], 1, BULLETS_FLOOR)).otherwise(r["bullets"]).alias("bullets")))
+    gone = _total(F.transform("_spare", lambda w, i: F.when(F.col("_over") > before(i), w).otherwise(0)))
+    record = F.struct(F.slice("_skills", F.lit(1), F.col("_n_skills")).alias("skills"), F.col("_summary").alias("summary"), *[full(c[x]).alias(x) for x in ("certifications", "education", "languages")], kept.alias("roles"), (F.col("_limit") + F.col("_over") - gone).alias("n_words"), (F.col("_over") > gone).alias("compact"))
+    return d.withColumn(name, record).drop("_skills", "_summary", "_roles", "_limit", "_fixed", "_skill_words", "_bullet_words", "_all_bullets", "_n_skills", "_over", "_spare")

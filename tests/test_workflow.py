@@ -1,6 +1,7 @@
 """Golden cases of workflow reports, nested records, service months and headings."""
 
 import datetime
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -61,13 +62,36 @@ def test_nested_shapes(spark):
     assert len(made.workExperience[0].bullets) == 24 and len(made.education[0].institution) == 200 and made.summary == "" and made.additional.technicalSkills == []
 
 
+CONTENT = "skills:array<string>, summary:array<string>, certifications:array<string>, education:array<string>, languages:array<string>, roles:array<struct<title:string, company:string, bullets:array<string>>>"
+
+
+def plain_limits(c, officer):
+    """Skills to 10, then bullets to 2 from the first role on, one after another."""
+    skills, roles, most = ((18, 6, 1150) if officer else (15, 3, 600))
+    s, summary = list((c[0] or [])[:skills]), list((c[1] or [])[:3])
+    work = [[t, f, list((b or [])[:3])] for t, f, b in (c[5] or [])[:roles]]
+    n = lambda x: len((x or "").split())
+    total = lambda: sum(map(n, s + summary + (c[2] or []) + (c[3] or []) + (c[4] or []))) + (10 + 8 * len(work) if work else 0) + sum(n(t) + n(f) + sum(map(n, b)) for t, f, b in work)
+    while total() > most and len(s) > 10:
+        s.pop()
+    while total() > most and any(len(b) > 2 for _, _, b in work):
+        next(b for _, _, b in work if len(b) > 2).pop()
+    return len(s), [len(b) for _, _, b in work], total(), total() > most
+
+
 def test_length_limits(spark):
-    schema = "c struct<skills:array<string>, summary:array<string>, roles:array<struct<title:string, bullets:array<string>>>>"
-    roles = [(f"r{k}", [" ".join(["w"] * 100)] * 5) for k in range(8)]
-    df = spark.createDataFrame([((["s"] * 30, ["one two"] * 5, roles),)], schema)
-    crew, officer = (df.select(nested.limited(F.col("c"), F.lit(x)).alias("x")).first().x for x in (False, True))
-    assert (len(crew.skills), len(crew.summary), [len(r.bullets) for r in crew.roles]) == (15, 3, [3, 2, 0])
-    assert (len(officer.skills), [len(r.bullets) for r in officer.roles]) == (18, [3, 3, 3, 2, 0, 0])
+    rng = random.Random(9)
+    text = lambda most: rng.choice([None, "", " ".join(["w"] * rng.randrange(1, most))])
+    some = lambda k, most: rng.choice([None, [text(most) for _ in range(rng.randrange(k))]])
+    rows = [(some(30, 8), some(6, 60), some(20, 40), some(4, 9), some(4, 3), rng.choice([None, [(text(6), text(6), some(6, rng.choice([20, 90, 160]))) for _ in range(rng.randrange(9))]])) for _ in range(1000)]
+    rows.append((["s"] * 30, ["one two"] * 5, None, None, None, [(f"r{k}", "", [" ".join(["w"] * 100)] * 5) for k in range(8)]))
+    df = spark.createDataFrame([(k, k % 2 == 0, r) for k, r in enumerate(rows)], f"k int, officer boolean, c struct<{CONTENT}>")
+    got = nested.limited(df, "c", F.col("officer"), "x").collect()
+    for r in got:
+        assert (len(r.x.skills), [len(b.bullets) for b in r.x.roles], r.x.n_words, r.x.compact) == plain_limits(rows[r.k], r.officer)
+        assert len(r.x.certifications) == len(rows[r.k][2] or [])
+    assert [len(b.bullets) for b in got[-1].x.roles] == [2] * 6 and got[-1].x.compact
+    assert any(r.x.compact for r in got) and any(not r.x.compact and 2 in map(len, (b.bullets for b in r.x.roles)) for r in got)
 
 
 def test_workflow_reports(spark):
