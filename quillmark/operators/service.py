@@ -29,15 +29,15 @@ def _day(x: Column) -> Column:
     return F.coalesce(F.when(x.rlike(r"^\d{2}/"), F.to_date(F.try_to_timestamp(x, F.lit("MM/yyyy")))), F.when(x.rlike(r"^\d{4}-"), F.to_date(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")))))
 
 
-def service_periods(text: Column, as_of: Column) -> Column:
+def service_periods(text: Column, as_of: Column, date: str = DATE) -> Column:
     """ARRAY<STRUCT<s, e>>: ranges of a text's lines that begin in YEARS; without any, its dates in order, two by two, less than PAIR_DAYS apart."""
     inside = lambda d: F.year(d).between(*YEARS)
-    span = rf"({DATE})\s*[-–]\s*({DATE}|{NOW})"
+    span = rf"({date})\s*[-–]\s*({date}|{NOW})"
     real = F.filter(lines(text), lambda x: ~F.lower(x).rlike("|".join(NO_SERVICE)))
     pairs = F.flatten(F.transform(real, lambda x: F.arrays_zip(F.regexp_extract_all(x, F.lit(span), 1).alias("a"), F.regexp_extract_all(x, F.lit(span), 2).alias("b"))))
     whole = F.transform(pairs, lambda p: F.struct(_day(p["a"]).alias("s"), F.when(p["b"].rlike(f"^(?:{NOW})$"), as_of).otherwise(_day(p["b"])).alias("e")))
     whole = F.filter(whole, lambda p: F.coalesce((p["e"] > p["s"]) & inside(p["s"]), F.lit(False)))
-    dates = F.array_sort(F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({DATE})"), 1), _day), lambda d: F.coalesce(inside(d), F.lit(False))))
+    dates = F.array_sort(F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({date})"), 1), _day), lambda d: F.coalesce(inside(d), F.lit(False))))
     at = F.filter(F.sequence(F.lit(1), F.size(dates)), lambda k: (k % 2 == 1) & (k < F.size(dates)))
     two = F.when(F.size(dates) > 1, F.transform(at, lambda k: F.struct(F.get(dates, k - 1).alias("s"), F.get(dates, k).alias("e"))))
     two = F.filter(two, lambda p: (p["e"] > p["s"]) & (F.date_diff(p["e"], p["s"]) < PAIR_DAYS))
