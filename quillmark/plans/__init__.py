@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import composed, entities, fields, grids, keyed, layers, parsing, reports
+from . import composed, entities, fields, grids, keyed, layers, parsing, reports, whole
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "composed", "entities", "fields", "grids", "keyed", "layers", "parsing", "reports"]
+__all__ = ["QUERIES", "SQL", "composed", "entities", "fields", "grids", "keyed", "layers", "parsing", "reports", "whole"]
