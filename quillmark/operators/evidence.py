@@ -16,7 +16,7 @@ from .mentions import LITERALS, spaced
 MARGIN, MOST = 80, 240
 #: What a context must not show: addresses, numbers of named documents, runs of seven digits or more.
 MASKED = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|(?i:\b(?:passport|cdc|indos|document|certificate)\s*(?:no\.?\s*:|number\s*:|#|:)\s*[A-Z0-9/-]+)|\b\d{7,}\b"
-_TOKEN = r"((?U)\s*(?:\w+|[^\w\s]))"
+_TOKEN = r"(?U)(\s*(\w+|[^\w\s]))"
 _WORD, _SIGN = r"(?U)\w", r"(?U)^[^\w\s]"
 
 
@@ -35,15 +35,17 @@ def spans(docs: DataFrame, key: str, text: str, dictionary: DataFrame, margin: i
     known = terms.agg(F.max("_n").alias("most"), F.approx_count_distinct("_head").alias("heads")).first()
     most = known.most or 1
     heads = [r[0] for r in terms.select("_head").distinct().limit(LITERALS + 1).collect()] if known.heads <= LITERALS else []
-    raw = docs.select(F.col(key), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), 1).alias("r")).where("size(r) > 0")
-    cut = raw.select(key, "r", F.transform("r", lambda x: F.length(x)).alias("n"), F.transform("r", lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+", " "))).alias("t"))
-    at = cut.select(key, "r", "t", running_sums(F.col("n")).alias("ends"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # each token with the blanks before it, and without
+    raw = docs.select(F.col(key), F.regexp_extract_all(whole, F.lit(_TOKEN), 1).alias("r"), F.regexp_extract_all(whole, F.lit(_TOKEN), 2).alias("w")).where("size(r) > 0")
+    low = F.zip_with("r", "w", lambda r, w: F.when(F.length(r) > F.length(w), F.concat(F.lit(" "), F.lower(w))).otherwise(F.lower(w)))
+    cut = raw.select(key, "r", F.transform("w", lambda x: F.length(x)).alias("m"), F.transform("r", lambda x: F.length(x)).alias("n"), low.alias("t"))
+    at = cut.select(key, "r", "m", "t", running_sums(F.col("n")).alias("ends"))
     places = F.sequence(F.lit(1), F.size("t"))
     if 0 < len(heads) <= LITERALS:
         places = F.filter(places, lambda i: F.ltrim(F.get("t", i - 1)).isin(heads))
-    bare = lambda i: F.regexp_replace(F.get("r", i - 1), r"(?U)^\s+", "")
-    start = lambda i: F.get("ends", i - 1) - F.length(bare(i))
-    blanks = lambda i: F.length(F.get("r", i - 1)) - F.length(bare(i))
+    start = lambda i: F.get("ends", i - 1) - F.get("m", i - 1)
+    blanks = lambda i: F.length(F.get("r", i - 1)) - F.get("m", i - 1)
     first = lambda i: F.greatest(i - margin, F.lit(1))
     left = lambda i: F.right(F.concat(F.array_join(F.slice("r", first(i), i - first(i)), ""), F.left(F.get("r", i - 1), blanks(i))), F.lit(margin))
     reach = lambda i: F.get("ends", F.least(i + most - 1, F.size("t")) - 1) - start(i) + margin
