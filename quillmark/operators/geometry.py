@@ -124,3 +124,44 @@ def portrait(images: DataFrame, doc: str) -> DataFrame:
     fit = images.where(F.col("width").between(40, 250) & F.col("height").between(40, 250) & shape.between(0.55, 1.4) & (F.col("y0") < F.col("page_height") * 0.35))
     w = Window.partitionBy(doc).orderBy(F.abs(1 - shape), "y0", "width")
     return fit.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+# Words that show a heading, ratios tried for a split, what makes a page one of two columns and a line a stray one.
+HEADINGS = ["summary", "experience", "education", "skills", "certifications", "license", "documents", "courses"]
+SPLITS = [0.45, 0.50, 0.55, 0.60, 0.65]
+LEFT_SHARE, LEAST_RIGHT, STRAY = (0.25, 0.75), 10, 15
+
+
+def two_columns(words: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
+    """Pages (with width) whose words stand on both sides of the middle."""
+    left = (F.col("x0") < F.col("width") / 2).cast("int")
+    g = words.join(pages.select(*page, "width"), page).groupBy(*page, "width").agg(F.count("*").alias("_n"), F.sum(left).alias("_left"))
+    share = F.col("_left") / F.col("_n")
+    return g.where((share > LEFT_SHARE[0]) & (share < LEFT_SHARE[1]) & (F.col("_n") - F.col("_left") > LEAST_RIGHT)).select(*page, "width")
+
+
+def best_split(words: DataFrame, pages: DataFrame, page: list[str], least: float = 15.0) -> DataFrame:
+    """(page, choice, split, headings, stray, text) of pages of two columns: the best of six ways to part them.
+
+    Choice 0 is the gutter, the others are SPLITS of the width. All are laid out in one pass: each word is a row of every
+    choice and side. The best has most headings, then fewest stray lines (a short single word that isn't in capitals),
+    then the longest text, then the first place.
+    """
+    two = two_columns(words, pages, page)
+    found = gutter(words.join(two.select(*page), page, "left_semi"), two, page, least)
+    ways = F.array(F.struct(F.lit(0).alias("choice"), F.col("split").alias("split")), *[F.struct(F.lit(k).alias("choice"), (F.col("width") * r).alias("split")) for k, r in enumerate(SPLITS, 1)])
+    tried = two.join(found.select(*page, "split"), page).select(*page, F.inline(ways))
+    sided = words.join(tried, page).withColumn("_side", (F.col("x0") >= F.col("split")).cast("int"))
+    key = [*page, "choice", "split", "_side"]
+    line = F.rtrim("line")
+    lines = text_lines(sided, key).where(~F.trim("line").rlike(r"(?U)^\p{Alpha}$"))
+    bare = F.trim("line")
+    capital = (F.upper(bare) == bare) & (F.lower(bare) != bare)
+    lone = (bare != "") & ~bare.rlike(r"(?U)\s") & ~capital & (F.length(bare) < STRAY)
+    side = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.struct("line_no", line.alias("line"))))), lambda x: x["line"]), "\n")
+    whole = lines.groupBy(*page, "choice", "split").agg(F.concat_ws("\n", side(0), side(1)).alias("text"), F.sum(lone.cast("int")).alias("stray"))
+    low = F.lower("text")
+    scored = whole.withColumn("headings", sum((F.contains(low, F.lit(h)).cast("int") for h in HEADINGS), F.lit(0)))
+    rank = F.struct("headings", -F.col("stray"), F.length("text"), -F.col("choice"))
+    best = scored.groupBy(*page).agg(F.max_by(F.struct("choice", "split", "headings", "stray", "text"), rank).alias("_b"))
+    return best.select(*page, "_b.*")
