@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import composed, entities, fields, grids, keyed, layers, parsing, reports, stages, whole
+from . import composed, datasets, entities, fields, grids, keyed, layers, parsing, reports, stages, whole
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "composed", "entities", "fields", "grids", "keyed", "layers", "parsing", "reports", "stages", "whole"]
+__all__ = ["QUERIES", "SQL", "composed", "datasets", "entities", "fields", "grids", "keyed", "layers", "parsing", "reports", "stages", "whole"]
