@@ -11,7 +11,7 @@ from .lineage import checkpointed
 #: What feedback must not show: addresses, numbers of ten digits or more, numbers of named documents.
 EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
 NUMBER = r"(?<!\w)(?=(?:\D?\d){10})\+?\d[\d\s().-]{7,}\d(?!\w)"
-DOCUMENT = r"(?i)\b(passport|cdc|indos|document|certificate)\s*(?:no\.?|number|#|:)\s*[A-Z0-9/-]+"
+DOCUMENT = r"(?i)\b(passport|cdc|indos|document|certificate)\s*(?:no\.?\s*:|number\s*:|#|:)\s*[A-Z0-9/-]+"
 SINKS = ["rewrite_train", "rewrite_valid", "ranking_train", "ranking_valid", "corrections_review"]
 
 
@@ -73,7 +73,8 @@ def filled(items: Column, defaults: Column, quota: Column, pad: bool = True) ->
     key = lambda x: F.lower(F.trim(x))
     once = lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, key), key(x)) == i + 1)
     own = once(F.filter(F.coalesce(items, none), lambda x: x.isNotNull()))
-    more = F.filter(once(F.filter(F.coalesce(defaults, none), lambda x: x.isNotNull())), lambda x: ~F.array_contains(F.transform(own, lambda y: F.lower(y)), F.lower(x)))
+    new = F.filter(F.coalesce(defaults, none), lambda x: x.isNotNull() & ~F.array_contains(F.transform(own, lambda y: F.lower(y)), F.lower(x)))
+    more = once(new)
     room = F.greatest(quota - F.size(own), F.lit(0))
     mark = lambda a, origin: F.transform(a, lambda x: F.struct(x.alias("item"), F.lit(origin).alias("origin")))
     return F.concat(mark(own, "source"), mark(F.slice(more, F.lit(1), room), "padded")) if pad else mark(own, "source")

@@ -35,7 +35,7 @@ def test_components_and_hold_out(spark):
 
 def test_prepared(spark, tmp_path):
     rng = random.Random(5)
-    feedback = [(rng.choice(["rewrite_preference", "score_correction", None]), f"mail a.b@c.org or +44 20 7946 0958 or 12345 {k}", "passport no. X12345", None, f"g{k % 7}", f"ref{k}", k) for k in range(80)]
+    feedback = [(rng.choice(["rewrite_preference", "score_correction", None]), f"mail a.b@c.org or +44 20 7946 0958 or 12345 {k}", "passport no: X12345", None, f"g{k % 7}", f"ref{k}", k) for k in range(80)]
     rankings = [(f"v{rng.randrange(30)}", f"c{rng.randrange(60)}", k) for k in range(70)] + [("v0", "c0", 1), ("v0", "c1", 1)]
     p = datasets.prepared(spark.createDataFrame(feedback, "kind string, prompt string, preferred string, rejected string, split_group string, consent_record_ref string, n int"), spark.createDataFrame(rankings, "vacancy_ref string, candidate_ref string, relevance int"))
     for a, b, cols in (("rewrite_train", "rewrite_valid", ["source_group"]), ("ranking_train", "ranking_valid", ["vacancy_ref"]), ("ranking_train", "ranking_valid", ["candidate_ref"])):
