@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that state a competency, certificates of a crew.
+# Phrases that state a competency, a duration or a hotel, sections and certificates of a crew.
 COMPETENCIES = {
     "high_voltage_authorization": (r"\bhv\s+(?:authorized|authorised|switching)\b", True),
     "independent_maintenance": (r"\bindependently?\s+(?:maintained|maintenanc|troubleshot)\b", True),
     "department_management": (r"\b(?:managed|supervised)\s+(?:engine room|engineering department)\b", False),
 }
+HOTEL = r"(?i)(?:hotel|cruise hotel)\s+([A-Za-z][A-Za-z &.'-]{2,60})"
+DURATION = r"(?i)(\d+(?:\.\d+)?)\s*(years?|months?)"
 HIGH_VOLTAGE = ["high voltage awareness", "hv awareness"]
 CREW_SECTIONS = {"land_experience": "hotel|hospitality|land", "internships": "internship|trainee", "training": "training", "foreign_work": "foreign|international", "guest_interaction": "guest|customer"}
 CREW_CERTIFICATES = ["PST", "PSSR", "FPFF", "EFA", "STCW Basic Safety Training"]
@@ -40,8 +42,8 @@ def ships_matched(found: DataFrame, needed: DataFrame, key: str, name: str) -> D
 
 def required_months(text: Column) -> Column:
     """Months that a requirement's text states; null if none."""
-    number = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(years?|months?)", 1).try_cast("double")
-    return number * F.when(F.lower(F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(years?|months?)", 2)).startswith("year"), 12).otherwise(1)
+    number = F.regexp_extract(text, DURATION, 1).try_cast("double")
+    return number * F.when(F.lower(F.regexp_extract(text, DURATION, 2)).startswith("year"), 12).otherwise(1)
 
 
 def suitability(candidates: DataFrame, requirements: DataFrame, key: str) -> DataFrame:
@@ -67,9 +69,11 @@ def suitability(candidates: DataFrame, requirements: DataFrame, key: str) -> Dat
 def officer_report(sailings: DataFrame, resume_ranks: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     """Per key: the ranks of the book, the rank of its last sailing, months by rank and in all, reconciliation.
 
-    ``totals`` has (key, group_key, service_months) with group_key 'all' or 'rank:...'.
+    ``totals`` has (key, group_key, service_months) with group_key 'all' or 'rank:...'. Of sailings with equal dates the
+    last is the one lowest on the last page (where page_number and line_no are given), then the one of the last rank by name.
     """
-    last = sailings.where("sign_off IS NOT NULL").groupBy(key).agg(F.max_by("rank", F.struct("sign_off", "sign_on")).alias("latest_rank"))
+    order = ["sign_off", "sign_on", *[c for c in ("page_number", "line_no") if c in sailings.columns], F.coalesce("rank", F.lit("")).alias("_rank")]
+    last = sailings.where("sign_off IS NOT NULL").groupBy(key).agg(F.max_by("rank", F.struct(*order)).alias("latest_rank"))
     by_rank = totals.where("group_key LIKE 'rank:%'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.substring("group_key", 6, 1 << 20).alias("rank"), "service_months"))).alias("months_by_rank"))
     whole = totals.where("group_key = 'all'").select(key, "service_months")
     return reconciled(resume_ranks, sailings, key).withColumnRenamed("book_ranks", "rank_history").join(last, key, "left").join(by_rank, key, "left").join(whole, key, "left")
@@ -88,7 +92,7 @@ def crew_profile(text: Column) -> Column:
     """STRUCT of a crew member's text: a flag for each section, hotels named, certificates named."""
     whole = F.coalesce(text, F.lit(""))
     flags = [whole.rlike(rf"(?i)\b(?:{p})\b").alias(name) for name, p in CREW_SECTIONS.items()]
-    hotels = F.transform(F.regexp_extract_all(whole, F.lit(r"(?i)(?:hotel|cruise hotel)\s+([A-Za-z][A-Za-z &.'-]{2,60})"), 1), lambda x: F.trim(x))
+    hotels = F.transform(F.regexp_extract_all(whole, F.lit(HOTEL), 1), lambda x: F.trim(x))
     named = F.array_compact(F.array(*[F.when(whole.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in CREW_CERTIFICATES]))
     return F.struct(*flags, F.filter(hotels, lambda x: x != "").alias("hotels"), named.alias("certificates"))
 

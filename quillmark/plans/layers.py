@@ -163,5 +163,5 @@ def sailing_records(spark, sf):
     # rank and vessel stand in the line before the dates
     body = F.regexp_replace(body, r"\n(MV)", ", $1")
     pages = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").cast("int").alias("page_number"), body.alias("raw_text"), F.when(F.col("l_partkey") % 2 == 0, "text").otherwise("ocr").alias("method"))
-    out = documents.sailings(pages, "book", ["second officer", "third officer"])
+    out = documents.sailings(pages, "book", ["second officer", "third officer"], F.lit("2024-01-01").cast("date"))
     return out.select("book", "page_number", "rank", "vessel", F.col("sign_on").cast("string").alias("sign_on"), F.col("sign_off").cast("string").alias("sign_off"), F.col("confidence").cast("double").alias("confidence"), "is_last")

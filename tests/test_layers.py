@@ -111,7 +111,7 @@ def test_certificate_validity(spark):
 def test_sailings(spark):
     rows = [("b", 1, "CDC No: AB123456\nName: Sample Candidate\nThird Officer\nMV Star, 01/2020 - 06/2020", "text"), ("b", 2, "Second Officer MT Moon\n01/02/2021 to 03/04/2021\nnothing", "ocr"), ("c", 1, None, "ocr")]
     df = spark.createDataFrame(rows, "book string, page_number int, raw_text string, method string")
-    got = [(r.page_number, r.rank, r.vessel.split(",")[0], r.sign_on, r.sign_off, r.confidence, r.is_last) for r in documents.sailings(df, "book", ["second officer", "third officer"]).orderBy("page_number").collect()]
+    got = [(r.page_number, r.rank, r.vessel.split(",")[0], r.sign_on, r.sign_off, r.confidence, r.is_last) for r in documents.sailings(df, "book", ["second officer", "third officer"], F.lit("2026-01-01").cast("date")).orderBy("page_number").collect()]
     d = datetime.date
     assert got == [(1, "third officer", "Star", d(2020, 1, 1), d(2020, 6, 1), 0.95, False), (2, "second officer", "Moon", d(2021, 2, 1), d(2021, 4, 3), 0.7, True)]
     n = df.where("page_number = 1 AND book = 'b'").select(documents.book_numbers(F.col("raw_text")).alias("x")).first().x
