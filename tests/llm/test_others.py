@@ -211,7 +211,7 @@ def test_decontamination_of_many_items(spark, monkeypatch):
     got = decontamination.hits(df, decontamination.fitted_items(df, bench)).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
     # an item of more windows than a part holds, and parts in passes of their own
-    monkeypatch.setattr(decontamination, "RANK", 8)
+    monkeypatch.setattr(decontamination, "PART", 8)
     monkeypatch.setattr(decontamination, "ITEM_BYTES", 1 << 18)
     fitted = decontamination.fitted_items(df, spark.createDataFrame([items[23], (5000, rows[50][1] + " " + rows[48][1]), items[63]], "item_id long, text string"))
     long = docs(spark, [*rows[:4], (500, rows[50][1] + " " + rows[48][1], "s")])
