@@ -70,7 +70,7 @@ def sections_found(text: Column, locale: str | None = None, kinds: list[str] | N
     found = []
     for kind in kinds or REQUIRED:
         names = "|".join(sorted(map(_quoted, synonyms(kind, locale)), key=len, reverse=True))
-        pattern = rf"^(?:{names})(?:\s*(?:{names})?$|\s*[^\p{{L}}\p{{N}}_\s]|\s*(?:and|y|e|et|및)\s)"
+        pattern = rf"^(?:{names})(?:\s*(?:{names})?$|\s*[^\p{{L}}\p{{N}}_\s]|\s*(?:and|y|e|et|및)\s|\s*[与和及])"
         found.append(F.when(F.exists(heads, _like(pattern)), F.lit(kind)))
     return F.array_compact(F.array(*found))
 

@@ -49,6 +49,39 @@ def doc_check_report(spark, sf):
     return d.select("doc_id", F.concat_ws(",", *[F.coalesce(n, F.lit("-")) for n in order]).alias("statuses"), parse_checks.score(kept, ["extraction", "layout"]).alias("overall_score"), parse_checks.extractability(F.col("v"), kept).alias("extractability"))
 
 
+#: Five lines of a text are a page; every third page has an image.
+@query("page_check_report", r"""WITH l AS (SELECT doc_id, text, doc_id % 4 >= 2 AS docx, doc_id % 6 AS k, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, i // 5 AS page, string_agg(x, chr(10) ORDER BY i) AS body FROM l GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE page % 3 = 0 AND length(regexp_replace(body, '\s', '', 'g')) < 200) AS sparse FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_repeated FROM (SELECT doc_id, trim(x) AS x FROM l GROUP BY doc_id, trim(x) HAVING count(DISTINCT i // 5) > 1 AND trim(x) <> '') GROUP BY doc_id),
+s AS (SELECT c.doc_id, d.docx, k, n_pages, sparse, coalesce(n_repeated, 0) AS rep, c.doc_id % 50 = 0 AS truncated, c.doc_id % 7 = 0 AS columns, length(regexp_replace(text, '\s', '', 'g')) AS visible FROM c JOIN (SELECT DISTINCT doc_id, docx, k, text FROM l) d USING (doc_id) LEFT JOIN r USING (doc_id)),
+t AS (SELECT doc_id, truncated, CASE WHEN visible < 50 THEN 'fail' ELSE 'pass' END AS text_layer, CASE WHEN NOT docx THEN CASE WHEN sparse > 0 AND sparse = n_pages THEN 'fail' WHEN sparse > 0 THEN 'warn' ELSE 'pass' END END AS coverage,
+ CASE WHEN k = 0 OR columns THEN 'fail' ELSE 'pass' END AS multi_column, CASE WHEN docx THEN CASE WHEN k IN (1, 4) THEN 'warn' ELSE 'pass' END WHEN n_pages < 2 THEN CASE WHEN k IN (1, 4) THEN 'warn' END WHEN rep > 0 THEN 'warn' ELSE 'pass' END AS margins,
+ CASE WHEN docx THEN CASE WHEN visible - 400 >= 50 THEN 'fail' WHEN visible > 400 THEN 'warn' ELSE 'pass' END END AS boxes, CASE WHEN truncated OR n_pages > 2 THEN 'warn' ELSE 'pass' END AS page_count FROM s)
+SELECT doc_id, concat_ws(',', text_layer, coalesce(coverage, '-'), multi_column, coalesce(boxes, '-'), coalesce(margins, '-'), page_count) AS statuses,
+ CAST(greatest(0, 100 - CASE text_layer WHEN 'fail' THEN 30 ELSE 0 END - CASE coverage WHEN 'fail' THEN 12 WHEN 'warn' THEN 6 ELSE 0 END - CASE multi_column WHEN 'fail' THEN 12 ELSE 0 END - CASE boxes WHEN 'fail' THEN 12 WHEN 'warn' THEN 6 ELSE 0 END - CASE margins WHEN 'warn' THEN 6 ELSE 0 END - CASE page_count WHEN 'warn' THEN 2 ELSE 0 END) AS INTEGER) AS page_score,
+ CASE WHEN text_layer = 'fail' THEN 'none' WHEN coalesce(coverage, 'pass') <> 'pass' OR truncated THEN 'partial' ELSE 'full' END AS extractability FROM t""")
+def page_check_report(spark, sf):
+    """The checks that read pages, boxes and margins, with all facts given."""
+    ext = F.when(F.col("doc_id") % 4 >= 2, "docx").otherwise("pdf")
+    d = t(spark, sf, "documents").select("doc_id", "text", _tags().alias("tags"), ext.alias("ext"), F.split("text", "\n").alias("l"))
+    page = F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 5).cast("int"))
+    bodies = F.transform(page, lambda i: F.slice("l", i * 5 + 1, F.lit(5)))
+    d = d.withColumn("bodies", bodies)
+    pages = F.transform("bodies", lambda b, i: F.struct(F.array_join(b, "\n").alias("text"), F.when(i % 3 == 0, 1).otherwise(0).alias("n_images")))
+    lines = F.flatten(F.transform("bodies", lambda b: F.array_distinct(F.transform(b, lambda x: F.trim(x)))))
+    d = d.withColumns({"pages": pages, "lines": F.array_sort(F.filter(lines, lambda x: x != ""))})
+    again = F.size(F.array_distinct(F.filter("lines", lambda x, i: x == F.get("lines", i - 1))))
+    spare = F.greatest(parse_checks.visible_chars(F.col("text")) - 400, F.lit(0)).cast("int")
+    facts = {"textbox_text": F.when(spare > 0, F.repeat(F.lit("x"), spare)), "page_count": F.size("pages"), "truncated": F.col("doc_id") % 50 == 0, "column_pages": F.when(F.col("doc_id") % 7 == 0, 1), "repeated_lines": again}
+    d = d.select("doc_id", parse_checks.view(F.col("text"), F.col("tags"), F.col("ext"), F.col("pages"), **facts).alias("v"))
+    order = ["text_layer", "text_coverage", "multi_column", "text_boxes", "header_footer_content", "page_count"]
+    found = parse_checks.statuses(F.col("v"))
+    d = d.select("doc_id", "v", *[found[n].alias(n) for n in ["garbled_glyphs", *order]])
+    kept = {n: F.col(n) for n in order}
+    return d.select("doc_id", F.concat_ws(",", *[F.coalesce(n, F.lit("-")) for n in order]).alias("statuses"), parse_checks.score(kept, ["extraction", "layout"]).alias("page_score"), parse_checks.extractability(F.col("v"), kept | {"garbled_glyphs": F.col("garbled_glyphs")}).alias("extractability"))
+
+
 @query("doc_check_sections")
 def doc_check_sections(spark, sf):
     """All twelve checks with the content score; no SQL, for the compatibility forms."""
@@ -134,7 +167,7 @@ def older_keywords(spark, sf):
     return older.keyword_points(d, "doc_id", "text", "vac", p, "posting", STOP).select("doc_id", "match_pct", "cosine_pct", F.array_join("missing", ",").alias("missing"), "keyword_points")
 
 
-_END = dates.RANGE_END
+_END = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{1,2}/\d{4}|\d{4}"
 
 
 @query("doc_first_range", rf"SELECT doc_id, regexp_extract(coalesce(text, ''), '(?i)(?:{_END})\s*[-–]\s*(?:{_END}|Present|Current)') AS first_range FROM documents")
