@@ -41,22 +41,28 @@ def shifted(number: Column, places: Column) -> Column:
     return F.when(right == "", left).otherwise(F.concat_ws(".", left, right))
 
 
-def numeric_claims(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, claim, n): claims are kind:value, scaled by k, m and b.
+def claims_of(text: Column) -> Column:
+    """ARRAY<STRUCT<version, before, currency, number, unit, after>> of the claims of a text, in order.
 
     Numbers of versions don't count, nor bare years from 1900 to 2100 beside a year and a dash or after a month.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(text, F.lit(""))
     groups = ["version", "before", "currency", "number", "unit", "after"]
     found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_CLAIM), k + 1).alias(g) for k, g in enumerate(groups)])
-    rows = docs.select(key, F.inline(found))
+    plain = lambda c: F.replace(c["number"], F.lit(","), F.lit(""))
+    bare = lambda c: (c["unit"] == "") & (c["currency"] == "") & ~F.contains(plain(c), F.lit("."))
+    dated = lambda c: bare(c) & plain(c).try_cast("bigint").between(*YEARS) & ((c["before"] != "") | (c["after"] != ""))
+    return F.filter(found, lambda c: (c["version"] == "") & ~F.coalesce(dated(c), F.lit(False)))
+
+
+def numeric_claims(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, claim, n): claims are kind:value, scaled by k, m and b; which numbers count is told by ``claims_of``."""
+    rows = docs.select(key, F.inline(claims_of(F.col(text))))
     number, unit = F.replace("number", F.lit(","), F.lit("")), F.lower("unit")
     told = lambda table, otherwise: F.coalesce(*[F.when(unit == u, F.lit(v)) for u, v in table.items()], F.lit(otherwise))
-    bare = (unit == "") & (F.col("currency") == "") & ~F.contains(number, F.lit("."))
-    dated = bare & number.try_cast("bigint").between(*YEARS) & ((F.col("before") != "") | (F.col("after") != ""))
     kind = F.when(F.col("currency") != "", F.col("currency")).otherwise(told(KIND, ""))
     claim = F.concat(kind, F.lit(":"), shifted(number, told(SHIFT, 0)))
-    return rows.where((F.col("version") == "") & ~F.coalesce(dated, F.lit(False))).select(key, claim.alias("claim")).groupBy(key, "claim").agg(F.count("*").alias("n"))
+    return rows.select(key, claim.alias("claim")).groupBy(key, "claim").agg(F.count("*").alias("n"))
 
 
 def novel_claims(new: DataFrame, old: DataFrame, key: str) -> DataFrame:

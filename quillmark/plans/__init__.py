@@ -1,6 +1,6 @@
 """Named queries and the SQL that checks them."""
 
-from . import composed, datasets, entities, fields, grids, keyed, layers, parsing, reports, stages, standing, whole
+from . import composed, datasets, entities, fields, generic, grids, keyed, layers, parsing, reports, stages, standing, whole
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "composed", "datasets", "entities", "fields", "grids", "keyed", "layers", "parsing", "reports", "stages", "standing", "whole"]
+__all__ = ["QUERIES", "SQL", "composed", "datasets", "entities", "fields", "generic", "grids", "keyed", "layers", "parsing", "reports", "stages", "standing", "whole"]
