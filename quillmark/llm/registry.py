@@ -23,6 +23,7 @@ QUERIES = {
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op11_quality_rules": quality_rules.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
     "op13_collocations": collocation.OP13_SQL,
 }
