@@ -240,7 +240,16 @@ def doc_topk_keywords(spark, sf):
     return retrieval.top(retrieval.term_counts(t(spark, sf, "documents"), "doc_id", "text"), "doc_id", [F.desc("tf"), F.col("term")], 5)
 
 
-@query("doc_numeric_claims")
+#: Without look-around: numbers of versions are taken out first, and every sign that may part claims is doubled, so that
+#: neighbours can each take one. Years of ranges don't stand in these texts.
+_CLAIMS = r"""cl AS (SELECT doc_id, unnest(regexp_extract_all(x, '(?i)(?:^|[^\p{L}\p{N}_.])((?:[$€£₹]\s*)?\d[\d,]*(?:\.\d+)?(?:\s*(?:thousand|million|billion|percent|times|ms|gb|mb|tb|[kmb%x]))?)(?:$|[^A-Za-z])', 1)) AS m
+ FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)((?:python|node(?:\.js)?|java|version|v)\s{1,15})\d[\d,]*(?:\.\d+)?', '\1', 'g'), '([^\p{L}\p{N}_.])', '\1\1', 'g') AS x FROM documents)),
+cm AS (SELECT doc_id, regexp_extract(m, '[$€£₹]') AS currency, replace(regexp_extract(m, '\d[\d,]*(?:\.\d+)?'), ',', '') AS num, lower(regexp_extract(m, '(?i)(thousand|million|billion|percent|times|ms|gb|mb|tb|[kmb%x])$')) AS unit FROM cl),
+claims AS (SELECT doc_id, CASE WHEN currency <> '' THEN currency ELSE CASE unit WHEN '%' THEN '%' WHEN 'percent' THEN '%' WHEN 'x' THEN 'x' WHEN 'times' THEN 'x' WHEN 'ms' THEN 'ms' WHEN 'gb' THEN 'gb' WHEN 'mb' THEN 'mb' WHEN 'tb' THEN 'tb' ELSE '' END END || ':' ||
+  CASE WHEN contains(num, '.') THEN regexp_replace(regexp_replace(regexp_replace(num, '^0+([0-9])', '\1'), '0+$', ''), '\.$', '') ELSE regexp_replace(num, '^0+([0-9])', '\1') || CASE WHEN unit IN ('k', 'thousand') THEN '000' WHEN unit IN ('m', 'million') THEN '000000' WHEN unit IN ('b', 'billion') THEN '000000000' ELSE '' END END AS claim FROM cm)"""
+
+
+@query("doc_numeric_claims", f"WITH {_CLAIMS} SELECT doc_id, claim, count(*) AS n FROM claims GROUP BY ALL")
 def doc_numeric_claims(spark, sf):
     return claims.numeric_claims(t(spark, sf, "documents"), "doc_id")
 

@@ -54,7 +54,18 @@ def page_gutters(spark, sf):
     return geometry.gutter(_words(spark, sf), pages, ["page"], 8.0).withColumn("split", F.round("split", 4))
 
 
-@query("page_columns")
+@query("page_columns", """WITH b AS (SELECT l_orderkey AS page, CAST(l_partkey % 2 * 40 + 2 AS DOUBLE) AS x0, CAST(l_partkey % 2 * 40 + 2 + l_quantity * 0.6 AS DOUBLE) AS x1, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_suppkey * 7 % 700 + 40 AS DOUBLE) AS y1 FROM lineitem),
+pg AS (SELECT page, g, 80.0 * g / 100 AS x FROM (SELECT page FROM b GROUP BY page HAVING count(*) >= 4), (SELECT unnest(range(25, 76, 2)) AS g)),
+j AS (SELECT b.*, g, x FROM b JOIN pg USING (page)),
+cr AS (SELECT page, g, y0, y1, max(y1) OVER (PARTITION BY page, g ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM j WHERE x0 < x AND x1 > x),
+isl AS (SELECT page, g, min(y0) AS y0, max(y1) AS y1 FROM (SELECT *, sum(CASE WHEN reach IS NULL OR y0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY page, g ORDER BY y0, y1) AS k FROM cr) GROUP BY page, g, k),
+band AS (SELECT pg.page, pg.g, 0.0 AS lo, coalesce(min(isl.y0), 800.0) AS hi FROM pg LEFT JOIN isl USING (page, g) GROUP BY ALL UNION ALL SELECT page, g, y1, coalesce(lead(y0) OVER (PARTITION BY page, g ORDER BY y0), 800.0) FROM isl),
+s AS (SELECT j.*, lo, hi, CASE WHEN x1 <= x THEN 'left' ELSE 'right' END AS side FROM j JOIN band USING (page, g) WHERE hi > lo AND (x1 <= x OR x0 >= x) AND y1 > lo AND y0 < hi),
+c AS (SELECT *, greatest(y0, lo) AS a, least(y1, hi) AS z, max(x1) OVER (PARTITION BY page, g, lo, hi, side) AS edge, max(least(y1, hi)) OVER (PARTITION BY page, g, lo, hi, side ORDER BY greatest(y0, lo), least(y1, hi) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+k AS (SELECT page, g, lo, hi, side, count(*) AS n, avg(CASE WHEN edge - x1 <= 2 THEN 1.0 ELSE 0.0 END) AS flush, max(x1 - x0) AS wide, sum(greatest(0.0, z - greatest(a, coalesce(reach, a)))) AS cover FROM c GROUP BY ALL),
+good AS (SELECT * FROM k WHERE n >= 3 AND cover >= 40 AND NOT (side = 'right' AND flush >= 0.8 AND wide < 24)),
+yes AS (SELECT DISTINCT page FROM (SELECT page, g, lo, hi FROM good GROUP BY ALL HAVING count(*) = 2))
+SELECT o_orderkey AS page, o_orderkey IN (SELECT page FROM yes) AS columns FROM orders""")
 def page_columns(spark, sf):
     li = t(spark, sf, "lineitem")
     boxes = li.select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 2 * 40 + 2).cast("double").alias("x0"), (F.col("l_partkey") % 2 * 40 + 2 + F.col("l_quantity") * 0.6).alias("x1"), (F.col("l_suppkey") * 7 % 700).cast("double").alias("y0"), (F.col("l_suppkey") * 7 % 700 + 40).cast("double").alias("y1"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import claims, intervals, mentions, nested, sequences, service, workflow
-from .catalogue import WANTED, query, t, values
+from .catalogue import _CLAIMS, WANTED, query, t, values
 
 # --- workflow reports -------------------------------------------------------------------------------------------------
 
@@ -150,7 +150,7 @@ def doc_missing_keywords(spark, sf):
     return mentions.missing(t(spark, sf, "documents"), "doc_id", "text", w, "vac").select("doc_id", "vac", F.array_join("missing", ",").alias("missing"))
 
 
-@query("conv_novel_claims")
+@query("conv_novel_claims", f"WITH {_CLAIMS}, c AS (SELECT doc_id, claim, count(*) AS n FROM claims GROUP BY ALL), p AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents) SELECT p.doc_id, b.claim, CAST(b.n - coalesce(a.n, 0) AS BIGINT) AS n_new FROM p JOIN c b ON b.doc_id = p.nxt LEFT JOIN c a ON a.doc_id = p.doc_id AND a.claim = b.claim WHERE b.n > coalesce(a.n, 0)")
 def conv_novel_claims(spark, sf):
     d = t(spark, sf, "documents")
     pairs = sequences.with_next(d, "source", "doc_id", "nxt").where("nxt IS NOT NULL")
