@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .dataprep import components, held_out_groups
 from .lineage import checkpointed
 
-#: What feedback must not show: addresses, numbers of ten digits or more, numbers of named documents.
+# What feedback must not show: addresses, numbers of ten digits or more, numbers of named documents.
 EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
 NUMBER = r"(?<!\w)(?=(?:\D?\d){10})\+?\d[\d\s().-]{7,}\d(?!\w)"
 DOCUMENT = r"(?i)\b(passport|cdc|indos|document|certificate)\s*(?:no\.?\s*:|number\s*:|#|:)\s*[A-Z0-9/-]+"

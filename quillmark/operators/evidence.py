@@ -14,10 +14,10 @@ from .lines import numbered
 from .mentions import LITERALS, spaced
 
 MARGIN, MOST = 80, 240
-#: What a context must not show: addresses, numbers of named documents, runs of seven digits or more.
+# Fixed value: what a context must not show: addresses, numbers of named documents, runs of seven digits or more.
 MASKED = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|(?i:\b(?:passport|cdc|indos|document|certificate)\s*(?:no\.?\s*:|number\s*:|#|:)\s*[A-Z0-9/-]+)|\b\d{7,}\b"
 _TOKEN = r"(?U)(\s*(\w+|[^\w\s]))"
-_WORD, _SIGN = r"(?U)\w", r"(?U)^[^\w\s]"
+_SIGN = r"(?U)^[^\w\s]"
 
 
 def masked(context: Column, most: int = MOST) -> Column:
