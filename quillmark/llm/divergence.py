@@ -1,7 +1,7 @@
 """Source divergence audit: how far each source's use of a language's vocabulary is from the other sources'.
 
-Relational throughout. Regexp matches are exploded and counted by (lang, source, term); a language keeps the terms of
-at least LEAST_DOCS of its rows; every group is crossed with its language's vocabulary by an equi-join on (lang, salt),
+Relational throughout. Regexp matches (cut out at what lies between them) are exploded and counted by (lang, source,
+term); a language keeps the terms of at least LEAST_DOCS of its rows; every group is crossed with its language's vocabulary by an equi-join on (lang, salt),
 so that terms a source lacks count zero; pairs of sources come from a self-join on (lang, term) and are summed.
 
 A row is a document, so rows that repeat count again. Null text, lang and source are ''. A group without terms is
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import dropped, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: ASCII without its letters.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: A language's vocabulary is crossed with its groups in so many parts.
@@ -27,7 +28,7 @@ SALTS = 64
 def terms(text: Column) -> Column:
     # in ASCII texts A-Z are all that lower() changes, and it is faster
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
