@@ -79,27 +79,28 @@ def has_columns(boxes: DataFrame, pages: DataFrame, page: list[str]) -> DataFram
 
     ``boxes`` has x0, x1, y0, y1, ``pages`` width and height. A side needs LEAST_BOXES boxes and LEAST_COVERAGE of the
     height; a narrow right side whose boxes end flush (dates, say) isn't a column.
+    All tables here grow with the pages, so none is sent whole through the driver: the joins sort and merge.
     """
     enough = boxes.groupBy(*page).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_ON_PAGE).drop("_n")
-    at = pages.where(F.col("height") > 0).join(enough, page).select(*page, F.col("width").alias("_w"), F.col("height").alias("_h"), F.explode(F.array(*[F.lit(g) for g in GUTTERS])).alias("_g")).withColumn("_x", F.col("_w") * F.col("_g") / 100)
+    at = pages.where(F.col("height") > 0).join(enough.hint("merge"), page).select(*page, F.col("width").alias("_w"), F.col("height").alias("_h"), F.explode(F.array(*[F.lit(g) for g in GUTTERS])).alias("_g")).withColumn("_x", F.col("_w") * F.col("_g") / 100)
     key = [*page, "_g"]
-    b = boxes.select(*page, "x0", "x1", "y0", "y1").join(at, page)
+    b = boxes.select(*page, "x0", "x1", "y0", "y1").join(at.hint("merge"), page)
     # free bands: before, between and after the crossing boxes
     crossing = merged(b.where((F.col("x0") < F.col("_x")) & (F.col("x1") > F.col("_x"))), key, "y0", "y1")
     after = F.lead("y0").over(Window.partitionBy(*key).orderBy("y0"))
-    below = at.join(crossing.withColumn("_hi", after), key).select(*key, F.greatest("y1", F.lit(0.0)).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
-    top = at.join(crossing.groupBy(*key).agg(F.min("y0").alias("_hi")), key, "left").select(*key, F.lit(0.0).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
+    below = at.join(crossing.withColumn("_hi", after).hint("merge"), key).select(*key, F.greatest("y1", F.lit(0.0)).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
+    top = at.join(crossing.groupBy(*key).agg(F.min("y0").alias("_hi")).hint("merge"), key, "left").select(*key, F.lit(0.0).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
     bands = top.unionByName(below).where(F.col("_hi") > F.col("_lo"))
     side = F.when(F.col("x1") <= F.col("_x"), "left").when(F.col("x0") >= F.col("_x"), "right")
-    beside = b.withColumn("_side", side).where(F.col("_side").isNotNull()).join(bands, key).where((F.col("y1") > F.col("_lo")) & (F.col("y0") < F.col("_hi")))
+    beside = b.withColumn("_side", side).where(F.col("_side").isNotNull()).join(bands.hint("merge"), key).where((F.col("y1") > F.col("_lo")) & (F.col("y0") < F.col("_hi")))
     span = [*key, "_lo", "_hi", "_side"]
     edge = F.max("x1").over(Window.partitionBy(*span))
     counts = beside.withColumn("_flush", (edge - F.col("x1") <= RIGHT_EDGE).cast("int")).groupBy(*span, "_w", "_h").agg(F.count("*").alias("_n"), F.avg("_flush").alias("_flush"), F.max(F.col("x1") - F.col("x0")).alias("_wide"))
     cover = union_length(beside.select(*span, F.greatest("y0", "_lo").alias("y0"), F.least("y1", "_hi").alias("y1")), span, "y0", "y1")
-    good = counts.join(cover, span).where((F.col("_n") >= LEAST_BOXES) & (F.col("union_length") >= LEAST_COVERAGE * F.col("_h")))
+    good = counts.join(cover.hint("merge"), span).where((F.col("_n") >= LEAST_BOXES) & (F.col("union_length") >= LEAST_COVERAGE * F.col("_h")))
     good = good.where(~((F.col("_side") == "right") & (F.col("_flush") >= RIGHT_FLUSH) & (F.col("_wide") < RIGHT_WIDTH * F.col("_w"))))
     both = good.groupBy(*key, "_lo", "_hi").agg(F.count("*").alias("_sides")).where(F.col("_sides") == 2).select(*page).distinct().withColumn("_yes", F.lit(True))
-    return pages.join(both, page, "left").select(*page, F.coalesce("_yes", F.lit(False)).alias("columns"))
+    return pages.join(both.hint("merge"), page, "left").select(*page, F.coalesce("_yes", F.lit(False)).alias("columns"))
 
 
 def repeated_margin_lines(boxes: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
