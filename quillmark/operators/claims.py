@@ -16,20 +16,23 @@ SHIFT = {"k": 3, "thousand": 3, "m": 6, "million": 6, "b": 9, "billion": 9}
 KIND = {"%": "%", "percent": "%", "x": "x", "times": "x", "ms": "ms", "gb": "gb", "mb": "mb", "tb": "tb"}
 
 
-def _number(mark: str = "") -> str:
-    return rf"({mark}{CURRENCY})?({mark}\d[\d,]*(?:\.\d+)?)(?:\s*({mark}{UNITS}))?(?![A-Za-z])"
+def _number(mark: str = "", blanks: str = "") -> str:
+    return rf"(?:({mark}{CURRENCY}){blanks})?({mark}\d[\d,]*(?:\.\d+)?)(?:\s*({mark}{UNITS}))?(?![A-Za-z])"
 
 
-#: One match a claim; groups: version word before it, date part before it, currency, number, unit, date part after it.
-#: The empty-width groups look around without taking text, so neighbouring claims never hide each other. They are tried
-#: only where a claim is certain: Java keeps what a look-behind captured even if the match fails later.
-_CLAIM = (
-    rf"(?i)(?<![\p{{L}}\p{{N}}_.])(?={_number('?:')})"
-    rf"(?:(?<=({VERSION_WORDS})\s{{0,15}}))?"
-    rf"(?:(?<=((?:19|20)\d{{2}}\s{{0,7}}[-/–]|(?:{MONTHS})[a-z]{{0,9}}\.?)\s{{0,9}}))?"
-    rf"{_number()}"
-    r"(?=(\s{0,7}[-/–]\s{0,7}(?:19|20)\d{2})?)"
-)
+# One match a claim; groups: version word before it, date part before it, currency, number, unit, date part after it.
+# The empty-width groups look around without taking text, so neighbouring claims never hide each other. They are tried
+# only where a claim is certain: Java keeps what a look-behind captured even if the match fails later.
+def _claim(apart: bool) -> str:
+    # a sign apart from its number may also touch the word before it, but not a number
+    blanks, start = (r"\s*", rf"(?:(?<![\p{{L}}\p{{N}}_.])|(?<!\p{{N}})(?={CURRENCY}))") if apart else ("", r"(?<![\p{L}\p{N}_.])")
+    return (
+        rf"(?i){start}(?={_number('?:', blanks)})"
+        rf"(?:(?<=({VERSION_WORDS})\s{{0,15}}))?"
+        rf"(?:(?<=((?:19|20)\d{{2}}\s{{0,7}}[-/–]|(?:{MONTHS})[a-z]{{0,9}}\.?)\s{{0,9}}))?"
+        rf"{_number(blanks=blanks)}"
+        r"(?=(\s{0,7}[-/–]\s{0,7}(?:19|20)\d{2})?)"
+    )
 
 
 def shifted(number: Column, places: Column) -> Column:
@@ -41,23 +44,24 @@ def shifted(number: Column, places: Column) -> Column:
     return F.when(right == "", left).otherwise(F.concat_ws(".", left, right))
 
 
-def claims_of(text: Column) -> Column:
+def claims_of(text: Column, apart: bool = False) -> Column:
     """ARRAY<STRUCT<version, before, currency, number, unit, after>> of the claims of a text, in order.
 
     Numbers of versions don't count, nor bare years from 1900 to 2100 beside a year and a dash or after a month.
+    With ``apart`` a currency sign counts with blanks before its number and behind a word, too.
     """
     body = F.coalesce(text, F.lit(""))
     groups = ["version", "before", "currency", "number", "unit", "after"]
-    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_CLAIM), k + 1).alias(g) for k, g in enumerate(groups)])
+    found = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_claim(apart)), k + 1).alias(g) for k, g in enumerate(groups)])
     plain = lambda c: F.replace(c["number"], F.lit(","), F.lit(""))
     bare = lambda c: (c["unit"] == "") & (c["currency"] == "") & ~F.contains(plain(c), F.lit("."))
     dated = lambda c: bare(c) & plain(c).try_cast("bigint").between(*YEARS) & ((c["before"] != "") | (c["after"] != ""))
     return F.filter(found, lambda c: (c["version"] == "") & ~F.coalesce(dated(c), F.lit(False)))
 
 
-def numeric_claims(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def numeric_claims(docs: DataFrame, key: str, text: str = "text", apart: bool = False) -> DataFrame:
     """(key, claim, n): claims are kind:value, scaled by k, m and b; which numbers count is told by ``claims_of``."""
-    rows = docs.select(key, F.inline(claims_of(F.col(text))))
+    rows = docs.select(key, F.inline(claims_of(F.col(text), apart)))
     number, unit = F.replace("number", F.lit(","), F.lit("")), F.lower("unit")
     told = lambda table, otherwise: F.coalesce(*[F.when(unit == u, F.lit(v)) for u, v in table.items()], F.lit(otherwise))
     kind = F.when(F.col("currency") != "", F.col("currency")).otherwise(told(KIND, ""))

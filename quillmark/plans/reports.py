@@ -154,7 +154,7 @@ def doc_missing_keywords(spark, sf):
 def conv_novel_claims(spark, sf):
     d = t(spark, sf, "documents")
     pairs = sequences.with_next(d, "source", "doc_id", "nxt").where("nxt IS NOT NULL")
-    c = claims.numeric_claims(d, "doc_id")
+    c = claims.numeric_claims(d, "doc_id", apart=True)
     new = pairs.join(c.withColumnRenamed("doc_id", "nxt"), "nxt").select("doc_id", "claim", "n")
     return claims.novel_claims(new, c, "doc_id")
 
