@@ -17,6 +17,8 @@ TITLE_STOP = ["a", "an", "and", "the", "of", "for", "in", "to", "at", "&"]
 MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 YEAR = r"(?:19|20)\d{2}"
 STYLES = {"iso": rf"\b{YEAR}[-/]\d{{1,2}}\b", "numeric": rf"\b\d{{1,2}}[/.-]{YEAR}\b", "name_year": rf"\b(?i:{MONTH})\.?,?\s+{YEAR}\b", "name_short_year": rf"\b(?i:{MONTH})\.?\s+'\d{{2}}\b", "year": rf"\b{YEAR}\b"}
+#: Phone numbers by shapes that no range of years has: their groups of four digits aren't years.
+PHONE = r"\+\d[\d ().-]{8,}\d|\(\d{3}\) ?\d{3}[-. ]\d{4}\b|(?<![\d-])\d{3}([-. ])\d{3}\1\d{4}\b"
 HEADERS = ["summary", "professional summary", "profile", "objective", "experience", "work experience", "employment history", "sea service", "sea service record", "skills", "technical skills", "certifications", "certificates", "education", "languages", "documents", "license", "licence", "training", "references", "contact", "contact information"]
 STRICT_PLATFORMS = ["successfactors", "taleo", "greenhouse"]
 SENIOR_RANKS = ["master", "chief engineer", "chief officer", "second engineer"]
@@ -109,7 +111,7 @@ def custom_header(lines: Column) -> Column:
 def format_findings(text: Column, lines: Column, platform: Column, known_columns: Column) -> Column:
     """array<struct<code, severity>>: advice on the form of the text for the platform that reads it."""
     p = F.lower(F.coalesce(platform, F.lit("unknown")))
-    n = date_styles(text)
+    n = date_styles(F.regexp_replace(text, PHONE, " ; "))
     kinds = sum((F.when(c > 0, 1).otherwise(0) for c in n.values()), F.lit(0))
     named = (n["name_year"] > 0) & (kinds == 1)
     one = lambda code, severity: F.struct(F.lit(code).alias("code"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"))
