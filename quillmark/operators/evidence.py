@@ -20,8 +20,10 @@ _TOKEN = r"(?U)(\s*(\w+|[^\w\s]))"
 _SIGN = r"(?U)^[^\w\s]"
 
 
-def masked(context: Column, most: int = MOST) -> Column:
-    return F.left(F.regexp_replace(context, MASKED, r"\[REDACTED\]"), F.lit(most))
+def masked(context: Column, most: int | None = MOST) -> Column:
+    """The context with its marks; cut after it, unless ``most`` is None."""
+    shown = F.regexp_replace(context, MASKED, r"\[REDACTED\]")
+    return shown if most is None else F.left(shown, F.lit(most))
 
 
 def spans(docs: DataFrame, key: str, text: str, dictionary: DataFrame, margin: int = MARGIN) -> DataFrame:
@@ -110,7 +112,7 @@ def snippets(docs: DataFrame, key: str, text: str, dictionary: DataFrame, most:
     hit = spans(at, "_line", "line", dictionary, margin=1).select(F.col(f"_line.{key}").alias(key), F.col("_line.line_no").alias("line_no"), "kind", "canonical", "term")
     best = hit.groupBy(key, "kind", "canonical").agg(F.min(F.struct((-F.length("term")).alias("_size"), "line_no", "term")).alias("x")).select(key, "kind", "canonical", "x.line_no", "x.term")
     j = best.join(at.select(key, "line_no", "line"), [key, "line_no"])
-    return j.select(key, "kind", "canonical", "term", "line_no", masked(F.left(F.trim("line"), F.lit(most)), most).alias("snippet"))
+    return j.select(key, "kind", "canonical", "term", "line_no", masked(F.left(F.trim("line"), F.lit(most)), None).alias("snippet"))
 
 
 def experience(found: DataFrame, needed: DataFrame, key: str) -> DataFrame:
