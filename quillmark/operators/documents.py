@@ -25,7 +25,11 @@ HOLDER = r"(?i)(?:Candidate|Seafarer|Name)\s*[:=-]\s*([^\n]+)"
 
 def day_of(text: Column, month_end: bool) -> Column:
     """A date in one of the forms; a month alone is its first day, or its last."""
-    t = F.regexp_replace(F.trim(text), "-", "/")
+    # the text is cut once and named by the lambda, so its forms don't cut it again
+    return F.get(F.transform(F.array(F.regexp_replace(F.trim(text), "-", "/")), lambda t: _day(t, month_end)), F.lit(0))
+
+
+def _day(t: Column, month_end: bool) -> Column:
     form = lambda f: F.to_date(F.try_to_timestamp(t, F.lit(f)))
     month = F.coalesce(F.when(t.rlike(r"^\d{1,2}/\d{4}$"), form("M/yyyy")), F.to_date(F.try_to_timestamp(F.concat(F.initcap(F.substring(t, 1, 3)), F.regexp_extract(t, r"(\s\d{4})$", 1)), F.lit("MMM yyyy"))))
     day = F.coalesce(F.when(t.rlike(r"^\d{4}/"), form("yyyy/MM/dd")), F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), form("d/M/yyyy")))
@@ -56,12 +60,12 @@ def sailings(pages: DataFrame, key: str, ranks: list[str], as_of: Column, author
     """
     span = rf"({DATE})\s*(?:-|–|—|(?i:to))\s*({DATE}|(?i:present|current))"
     # contexts are cut inside the page's row: no shuffle, and repeated pages stay apart
-    around_it = lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.array_join(F.slice("_lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), "\n").alias("context"))
-    dated = F.filter(F.transform("_lines", around_it), lambda r: F.regexp_like(r["line"], F.lit(span)))
+    around_it = lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.array_join(F.slice("_lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), "\n").alias("context"), *[F.regexp_extract(x, span, k).alias(f"_end{k}") for k in (1, 2)])
+    dated = F.filter(F.transform("_lines", around_it), lambda r: r["_end1"] != "")
     hit = pages.withColumn("_lines", lines(F.col("raw_text"))).select(key, "page_number", "method", F.inline(dated))
     rank = F.coalesce(*[F.when(has_term(F.col("context"), r), F.lit(r)) for r in ranks])
     vessel = F.trim(F.regexp_extract("context", SHIP, 1))
-    ends = [F.regexp_extract("line", span, k) for k in (1, 2)]
+    ends = [F.col("_end1"), F.col("_end2")]
     now = F.lower(ends[1]).isin("present", "current")
     sure = F.coalesce(*[F.when(F.col("method") == m, F.lit(c)) for m, c in CONFIDENCE.items()], F.lit(0.0))
     out = hit.select(key, "page_number", "line_no", F.trim("line").alias("row"), "context", rank.alias("rank"), F.nullif(vessel, F.lit("")).alias("vessel"), day_of(ends[0], False).alias("sign_on"), F.when(now, as_of).otherwise(day_of(ends[1], False)).alias("sign_off"), "method", sure.alias("confidence"), F.lit("verified_authorized_cdc" if authorized else "unverified_cdc").alias("verification_status"))

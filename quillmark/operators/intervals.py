@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import months_between_merged
@@ -20,15 +20,25 @@ def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end
 def totals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Per keys: n_merged, union_days, service_months."""
     m = merged(df, keys, start, end)
-    return m.groupBy(*keys).agg(F.count("*").alias("n_merged"), F.sum(F.date_diff(end, start)).cast("bigint").alias("union_days"), F.bround(F.sum(months_between_merged(F.col(start), F.col(end))), 2).alias("service_months"))
+    return m.groupBy(*keys).agg(*_totals(start, end))
+
+
+def _totals(start: str, end: str) -> list[Column]:
+    return [F.count(start).alias("n_merged"), F.sum(F.date_diff(end, start)).cast("bigint").alias("union_days"), F.bround(F.sum(months_between_merged(F.col(start), F.col(end))), 2).alias("service_months")]
 
 
 def group_totals(df: DataFrame, key: str, groups: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Totals for ``all`` and for each value of each group column; a union is made anew for each group."""
     names = F.array(F.lit("all"), *[F.concat(F.lit(f"{g}:"), F.col(g).cast("string")) for g in groups])
     each = df.withColumn("group_key", F.explode(F.filter(names, lambda x: x.isNotNull())))
-    n = each.groupBy(key, "group_key").agg(F.count("*").alias("n_periods"))
-    return totals(each, [key, "group_key"], start, end).join(n, [key, "group_key"])
+    # one pass: empty periods count, but open and reach nothing
+    keys, real = [key, "group_key"], F.coalesce(F.col(end) > F.col(start), F.lit(False))
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    before = F.max(F.when(real, F.col(end))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = each.select(*keys, start, end).withColumn("_new", (real & (before.isNull() | (F.col(start) > before))).cast("int"))
+    island = opened.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = island.groupBy(*keys, "_island").agg(F.min(F.when(real, F.col(start))).alias(start), F.max(F.when(real, F.col(end))).alias(end), F.count("*").alias("_n"))
+    return m.groupBy(*keys).agg(*_totals(start, end), F.sum("_n").alias("n_periods")).where("n_merged > 0")
 
 
 def overlaps(df: DataFrame, key: str, period: str, start: str = "start", end: str = "end") -> DataFrame:

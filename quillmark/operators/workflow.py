@@ -24,10 +24,17 @@ def reconciled(resume_ranks: DataFrame, sailings: DataFrame, key: str) -> DataFr
     ``resume_ranks`` has (key, rank). Keys without sailings are consistent by definition and give no row. Null ranks are
     no ranks, but part of what makes two voyages equal. Arrays are sorted.
     """
-    ranks = sailings.where("rank IS NOT NULL").select(key, "rank").distinct()
-    lacking = ranks.join(resume_ranks.select(key, "rank").distinct(), [key, "rank"], "left_anti").groupBy(key).agg(F.sort_array(F.collect_set("rank")).alias("ranks_without_evidence"))
-    again = sailings.groupBy(key, "sign_on", "sign_off", "rank").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum(F.col("n") - 1).alias("n_repeated"), F.sort_array(F.collect_set("rank")).alias("book_ranks"))
-    out = again.join(lacking, key, "left").withColumn("ranks_without_evidence", F.coalesce("ranks_without_evidence", F.array().cast("array<string>")))
+    return _reconciled(resume_ranks, sailings, key).drop("latest_rank")
+
+
+def _reconciled(resume_ranks: DataFrame, sailings: DataFrame, key: str) -> DataFrame:
+    """As ``reconciled``, with the rank of the last sailing; the sailings are read once."""
+    places = [c for c in ("page_number", "line_no") if c in sailings.columns]
+    at = F.max(F.struct(*places, F.lit(0).alias("_"))).alias("_at")
+    order = F.struct("sign_off", "sign_on", "_at", F.coalesce("rank", F.lit("")).alias("_rank"))
+    again = sailings.groupBy(key, "sign_on", "sign_off", "rank").agg(F.count("*").alias("n"), at).groupBy(key).agg(F.sum(F.col("n") - 1).alias("n_repeated"), F.sort_array(F.collect_set("rank")).alias("book_ranks"), F.max_by("rank", F.when(F.col("sign_off").isNotNull(), order)).alias("latest_rank"))
+    told = resume_ranks.where("rank IS NOT NULL").groupBy(key).agg(F.collect_set("rank").alias("_told"))
+    out = again.join(told, key, "left").withColumn("ranks_without_evidence", F.array_except("book_ranks", F.coalesce("_told", F.array().cast("array<string>")))).drop("_told")
     return out.withColumn("status", F.when((F.size("ranks_without_evidence") > 0) | (F.col("n_repeated") > 0), "review_required").otherwise("consistent"))
 
 
@@ -72,11 +79,11 @@ def officer_report(sailings: DataFrame, resume_ranks: DataFrame, totals: DataFra
     ``totals`` has (key, group_key, service_months) with group_key 'all' or 'rank:...'. Of sailings with equal dates the
     last is the one lowest on the last page (where page_number and line_no are given), then the one of the last rank by name.
     """
-    order = ["sign_off", "sign_on", *[c for c in ("page_number", "line_no") if c in sailings.columns], F.coalesce("rank", F.lit("")).alias("_rank")]
-    last = sailings.where("sign_off IS NOT NULL").groupBy(key).agg(F.max_by("rank", F.struct(*order)).alias("latest_rank"))
-    by_rank = totals.where("group_key LIKE 'rank:%'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.substring("group_key", 6, 1 << 20).alias("rank"), "service_months"))).alias("months_by_rank"))
-    whole = totals.where("group_key = 'all'").select(key, "service_months")
-    return reconciled(resume_ranks, sailings, key).withColumnRenamed("book_ranks", "rank_history").join(last, key, "left").join(by_rank, key, "left").join(whole, key, "left")
+    rank = F.when(F.col("group_key").startswith("rank:"), F.struct(F.substring("group_key", 6, 1 << 20).alias("rank"), "service_months"))
+    months = totals.groupBy(key).agg(F.sort_array(F.collect_list(rank)).alias("months_by_rank"), F.max(F.when(F.col("group_key") == "all", F.col("service_months"))).alias("service_months"))
+    months = months.withColumn("months_by_rank", F.when(F.size("months_by_rank") > 0, F.col("months_by_rank")))
+    r = _reconciled(resume_ranks, sailings, key).withColumnRenamed("book_ranks", "rank_history")
+    return r.select(key, "n_repeated", "rank_history", "ranks_without_evidence", "status", "latest_rank").join(months, key, "left")
 
 
 def competencies(text: Column) -> Column:
