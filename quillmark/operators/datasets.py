@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .dataprep import components, held_out_groups
 from .lineage import checkpointed
 
@@ -71,10 +72,12 @@ def filled(items: Column, defaults: Column, quota: Column, pad: bool = True) ->
     """
     none = F.array().cast("array<string>")
     key = lambda x: F.lower(F.trim(x))
-    once = lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, key), key(x)) == i + 1)
-    own = once(F.filter(F.coalesce(items, none), lambda x: x.isNotNull()))
-    new = F.filter(F.coalesce(defaults, none), lambda x: x.isNotNull() & ~F.array_contains(F.transform(own, lambda y: F.lower(y)), F.lower(x)))
-    more = once(new)
-    room = F.greatest(quota - F.size(own), F.lit(0))
+    once = lambda a: let(a, lambda b: let(F.transform(b, key), lambda keys: F.filter(b, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
     mark = lambda a, origin: F.transform(a, lambda x: F.struct(x.alias("item"), F.lit(origin).alias("origin")))
-    return F.concat(mark(own, "source"), mark(F.slice(more, F.lit(1), room), "padded")) if pad else mark(own, "source")
+    source = once(F.filter(F.coalesce(items, none), lambda x: x.isNotNull()))
+    if not pad:
+        return mark(source, "source")
+    new = lambda low: F.filter(F.coalesce(defaults, none), lambda x: x.isNotNull() & ~F.array_contains(low, F.lower(x)))
+    room = lambda own: F.greatest(quota - F.size(own), F.lit(0))
+    more = lambda own: once(let(F.transform(own, lambda y: F.lower(y)), new))
+    return let(source, lambda own: F.concat(mark(own, "source"), mark(F.slice(more(own), F.lit(1), room(own)), "padded")))

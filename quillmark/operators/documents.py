@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.dates import validity
 from ..functions.text import around, has_term, lines
 from .lines import numbered
@@ -25,8 +26,7 @@ HOLDER = r"(?i)(?:Candidate|Seafarer|Name)\s*[:=-]\s*([^\n]+)"
 
 def day_of(text: Column, month_end: bool) -> Column:
     """A date in one of the forms; a month alone is its first day, or its last."""
-    # the text is cut once and named by the lambda, so its forms don't cut it again
-    return F.get(F.transform(F.array(F.regexp_replace(F.trim(text), "-", "/")), lambda t: _day(t, month_end)), F.lit(0))
+    return let(F.regexp_replace(F.trim(text), "-", "/"), lambda t: _day(t, month_end))
 
 
 def _day(t: Column, month_end: bool) -> Column:

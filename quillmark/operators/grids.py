@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .service import PAIR_DAYS, YEARS, service_periods, whole_months
 
 # Words that a service table has in its first two rows, and the form of its dates.
@@ -29,8 +30,8 @@ def service_tables(grid: DataFrame, doc: str) -> DataFrame:
 def row_periods(cells: Column) -> Column:
     """ARRAY<STRUCT<s, e>>: a row's dates two by two, those in order, in YEARS and less than PAIR_DAYS apart."""
     days = F.transform(F.regexp_extract_all(_text(cells), F.lit(DAY), 1), lambda x: F.to_date(F.try_to_timestamp(x, F.lit("dd/MM/yyyy"))))
-    at = F.filter(F.sequence(F.lit(0), F.size(days)), lambda k: (k % 2 == 0) & (k + 1 < F.size(days)))
-    pairs = F.transform(at, lambda k: F.struct(F.get(days, k).alias("s"), F.get(days, k + 1).alias("e")))
+    at = lambda d: F.filter(F.sequence(F.lit(0), F.size(d)), lambda k: (k % 2 == 0) & (k + 1 < F.size(d)))
+    pairs = let(days, lambda d: F.transform(at(d), lambda k: F.struct(F.get(d, k).alias("s"), F.get(d, k + 1).alias("e"))))
     good = lambda p: (p["e"] > p["s"]) & F.year(p["s"]).between(*YEARS) & F.year(p["e"]).between(*YEARS) & (F.date_diff(p["e"], p["s"]) < PAIR_DAYS)
     return F.filter(pairs, lambda p: F.coalesce(good(p), F.lit(False)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import lines, normalized
 
 # Words of lines that hold no service, forms of dates, limits; headings by language and section.
@@ -38,10 +39,10 @@ def service_periods(text: Column, as_of: Column, date: str = DATE) -> Column:
     whole = F.transform(pairs, lambda p: F.struct(_day(p["a"]).alias("s"), F.when(p["b"].rlike(f"^(?:{NOW})$"), as_of).otherwise(_day(p["b"])).alias("e")))
     whole = F.filter(whole, lambda p: F.coalesce((p["e"] > p["s"]) & inside(p["s"]), F.lit(False)))
     dates = F.array_sort(F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({date})"), 1), _day), lambda d: F.coalesce(inside(d), F.lit(False))))
-    at = F.filter(F.sequence(F.lit(1), F.size(dates)), lambda k: (k % 2 == 1) & (k < F.size(dates)))
-    two = F.when(F.size(dates) > 1, F.transform(at, lambda k: F.struct(F.get(dates, k - 1).alias("s"), F.get(dates, k).alias("e"))))
+    at = lambda d: F.filter(F.sequence(F.lit(1), F.size(d)), lambda k: (k % 2 == 1) & (k < F.size(d)))
+    two = let(dates, lambda d: F.when(F.size(d) > 1, F.transform(at(d), lambda k: F.struct(F.get(d, k - 1).alias("s"), F.get(d, k).alias("e")))))
     two = F.filter(two, lambda p: (p["e"] > p["s"]) & (F.date_diff(p["e"], p["s"]) < PAIR_DAYS))
-    return F.when(F.size(whole) > 0, whole).otherwise(F.coalesce(two, F.array().cast("array<struct<s:date,e:date>>")))
+    return let(whole, lambda p: F.when(F.size(p) > 0, p).otherwise(F.coalesce(two, F.array().cast("array<struct<s:date,e:date>>"))))
 
 
 def whole_months(periods: Column) -> Column:
