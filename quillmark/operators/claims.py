@@ -79,3 +79,10 @@ def set_changes(old: DataFrame, new: DataFrame, key: str, item: str) -> DataFram
     """(key, item, change): added or removed between two versions."""
     o, n = old.select(key, item).distinct(), new.select(key, item).distinct()
     return n.exceptAll(o).withColumn("change", F.lit("added")).unionByName(o.exceptAll(n).withColumn("change", F.lit("removed")))
+
+
+def list_changes(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, change, n): how many items of two lists without repeats were added or removed; no row for none."""
+    n = lambda a, b: F.size(F.array_except(a, b)).cast("bigint")
+    each = F.array(F.struct(F.lit("added").alias("change"), n(new, old).alias("n")), F.struct(F.lit("removed").alias("change"), n(old, new).alias("n")))
+    return pairs.select(key, F.inline(each)).where("n > 0")
