@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from decimal import ROUND_HALF_EVEN, Decimal
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 _TERM = re.compile("[a-z0-9]+")
-#: About how many query vectors are broadcast at once.
+#: About how many query vectors, and how many others, meet in one group.
 QUERY_BLOCK = 10_000
 
 
@@ -135,19 +137,91 @@ def metrics(ranked: DataFrame, by: str, relevance: str, rank: str, k: int) -> Da
     return m.select(by, F.bround(p, 4).alias("precision_at_k"), F.bround(r, 4).alias("recall_at_k"), F.bround(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4).alias("f1_at_k"), F.bround(F.coalesce(F.try_divide(F.col("dcg"), F.col("idcg")), F.lit(0.0)), 4).alias("ndcg_at_k"))
 
 
+def _vectors(rows: pa.Table, name: str, vector: str) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """All ids, in order, and by length of vector those without nulls: (places in the ids, vectors)."""
+    rows = rows.sort_by(name)
+    v = rows.column(vector).combine_chunks()
+    size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+    flat = v.flatten()
+    whole = v.is_valid().to_numpy(zero_copy_only=False)
+    whole[np.repeat(np.arange(len(size)), size)[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    flat = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    first = np.cumsum(size) - size
+    out = {}
+    for n in np.unique(size[whole]).tolist():
+        at = np.flatnonzero(whole & (size == n))
+        out[n] = at, flat[first[at][:, None] + np.arange(n)]
+    return rows.column(name).to_numpy(), out
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six digits, halves to even, of the shortest decimal form, as bround gives them."""
+    y = x * 1e6
+    out = np.rint(y)
+    for k in np.flatnonzero(np.abs(np.abs(y - np.trunc(y)) - 0.5) < 1e-6):
+        out[k] = int(Decimal(repr(float(x[k]))).scaleb(6).to_integral_value(ROUND_HALF_EVEN))
+    return out / 1e6 + 0.0
+
+
+def _in_order(products: np.ndarray) -> np.ndarray:
+    """Sums of the rows, from the first to the last number, so that they are the same however rows are dealt."""
+    return np.cumsum(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
+def _best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """For each asked vector the row of another id with the best rounded cosine, the least id of equals; null if it has none."""
+    if not asked.num_rows or not rows.num_rows:  # such a side has no columns
+        return pa.table({"id": pa.array([], pa.int64()), "match_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+    ids, queries = _vectors(asked, "id", "v")
+    known, others = _vectors(rows, "match_id", "w")
+    # without a cosine the least other id counts
+    at = np.where(known[0] == ids, np.searchsorted(known, known[0], "right"), 0)
+    found, best_id = at < len(known), known[np.minimum(at, len(known) - 1)]
+    best, none = np.full(len(ids), np.nan), np.ones(len(ids), bool)
+    for n in queries.keys() & others.keys():
+        (qi, q), (ri, r) = queries[n], others[n]
+        qn, rn = np.sqrt(_in_order(q * q)), np.sqrt(_in_order(r * r))
+        lo, hi = (np.searchsorted(known[ri], ids[qi], side) for side in ("left", "right"))
+        step = max(1, CELLS // 8 // len(r))
+        for a in range(0, len(q), step):
+            norm = qn[a : a + step, None] * rn
+            with np.errstate(all="ignore"):
+                cos = q[a : a + step] @ r.T / norm
+            cos[np.isnan(cos)] = np.inf
+            cos[norm == 0] = -np.inf
+            for k in range(len(cos)):
+                cos[k, lo[a + k] : hi[a + k]] = -np.inf
+            # all that may be best once rounded, summed again in order
+            x, y = np.nonzero((cos > -np.inf) & (cos >= cos.max(axis=1, keepdims=True) - 2e-6))
+            exact = np.empty(len(x))
+            for k in range(0, len(x), 1 << 16):
+                i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                with np.errstate(all="ignore"):
+                    exact[k : k + len(i)] = _in_order(q[a + i] * r[j]) / norm[i, j]
+            real = np.isfinite(exact)
+            exact[real] = _rounded(exact[real])
+            # the last row of each query: the largest, of equals the least id
+            order = np.lexsort((-y, np.where(np.isnan(exact), np.inf, exact), x))
+            last = order[np.append(x[order][1:] != x[order][:-1], True)] if len(order) else order
+            at = qi[a + x[last]]
+            best_id[at], best[at], none[at] = known[ri[y[last]]], exact[last], False
+    return pa.table({"id": ids[found], "match_id": best_id[found], "similarity": pa.array(best[found], mask=none[found])})
+
+
 def best_match(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Stated query vectors (id, v) against all of another table, but for the query's own id: the best cosine, the least id of equals.
 
-    Queries are numbered into blocks of QUERY_BLOCK; a block is the broadcast side, and the other table streams past it.
+    Queries are dealt into blocks of QUERY_BLOCK and the other table into as large ones. Each pair of blocks meets in one
+    group, which sends on one row for each of its queries, so no (query, row) pairs become rows.
     """
-    unit = lambda df: df.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("_n"))
-    blocks = -(-left.count() // QUERY_BLOCK)
-    b = unit(right).alias("b")
-    dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    best = []
-    for k in range(max(blocks, 1)):
-        a = unit(left.where(F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))) == k)).alias("a")
-        # a share of the stated queries, near QUERY_BLOCK of them
-        s = b.join(F.broadcast(a), F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("match_id"), F.bround(F.try_divide(dot, F.col("a._n") * F.col("b._n")) + 0.0, 6).alias("similarity"))
-        best.append(s.groupBy("id").agg(F.max_by(F.struct("match_id", "similarity"), F.struct(F.col("similarity"), -F.col("match_id"))).alias("m")))
-    return reduce(DataFrame.unionByName, best).select("id", "m.match_id", "m.similarity", F.when(F.col("m.similarity") >= least, "possible").otherwise("none").alias("state"))
+    # names of their own, as both may be columns of one table
+    left, right = (df.where("id IS NOT NULL").select(F.col("id").cast("bigint").alias(name), F.col("v").alias(vector)) for df, name, vector in ((left, "id", "v"), (right, "match_id", "w")))
+    a, b = (max(1, -(-df.count() // QUERY_BLOCK)) for df in (left, right))
+    nth = F.monotonically_increasing_id()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.select("id", "v", F.pmod(nth, F.lit(a)).cast("int").alias("_a")).withColumn("_b", each(b))
+    rows = right.select("match_id", "w", F.pmod(nth, F.lit(b)).cast("int").alias("_b")).withColumn("_a", each(a))
+    asked, rows = (df.repartition(2 * a * b, "_a", "_b").groupBy("_a", "_b") for df in (asked, rows))
+    best = asked.cogroup(rows).applyInArrow(_best, "id long, match_id long, similarity double")
+    m = best.groupBy("id").agg(F.max_by(F.struct("match_id", "similarity"), F.struct(F.col("similarity"), -F.col("match_id"))).alias("m"))
+    return m.select("id", "m.match_id", "m.similarity", F.when(F.col("m.similarity") >= least, "possible").otherwise("none").alias("state"))
