@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
 
@@ -118,12 +120,28 @@ def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
 
 
 def pair_tfidf(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """Cosine of smoothed TF-IDF in the two-document corpus of each pair: idf ln(3 / (1 + df)) + 1."""
-    side = lambda c, n: pairs.select(*keys, F.explode(tokens(F.col(c))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias(n))
-    both = side(left, "a").join(side(right, "b"), [*keys, "term"], "full_outer").select(*keys, F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-    idf = F.log(F.lit(3.0) / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1
-    w = both.withColumn("x", F.col("a") * idf).withColumn("y", F.col("b") * idf)
-    return w.groupBy(*keys).agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("cosine"))
+    """Cosine of smoothed TF-IDF in the two-document corpus of each pair: idf ln(3 / (1 + df)) + 1.
+
+    Terms are counted in their pair's row and never become rows. Texts of rows that share their keys count together; a pair
+    without a term has no row, and one with a side without terms no cosine.
+    """
+    one = math.log(1.5) + 1  # idf of a term of one side; that of both sides is 1
+
+    def cosines(batches):
+        for batch in batches:
+            at, cos = [], []
+            for k, (a, b) in enumerate(zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())):
+                a, b = (Counter(x for text in texts for x in _TERM.findall(text)) for texts in (a, b))
+                if a or b:
+                    both = a.keys() & b.keys()
+                    norm = [sum(n * n * (1 if x in both else one * one) for x, n in side.items()) for side in (a, b)]
+                    at.append(k)
+                    cos.append(sum(a[x] * b[x] for x in both) / (math.sqrt(norm[0]) * math.sqrt(norm[1])) if a and b else None)
+            own = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cos, pa.float64())], names=[*keys, "cosine"])
+
+    texts = pairs.groupBy(*keys).agg(F.collect_list(F.lower(left)).alias("_a"), F.collect_list(F.lower(right)).alias("_b"))
+    return texts.mapInArrow(cosines, StructType([*[pairs.schema[k] for k in keys], StructField("cosine", DoubleType())]))
 
 
 def metrics(ranked: DataFrame, by: str, relevance: str, rank: str, k: int) -> DataFrame:

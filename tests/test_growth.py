@@ -37,3 +37,12 @@ def test_best_match_makes_no_pair_rows(spark, monkeypatch, block):
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
     assert all(math.isnan(r.similarity) for r in retrieval.best_match(df.where("id = 36"), df, 0.65).collect())
     assert retrieval.best_match(df.where("id < 0"), df, 0.65).count() == 0 == retrieval.best_match(df.where("id = 1"), df.where("id = 1"), 0.65).count()
+
+
+def test_pair_tfidf_makes_no_term_rows(spark):
+    pairs = spark.createDataFrame([(1, "a b b", "b c"), (2, "A x", "a X"), (3, "a", None), (4, "--", ""), (5, "p q", "r"), (6, "k", "m"), (6, "m", "k k")], "k int, a string, b string")
+    found = retrieval.pair_tfidf(pairs, ["k"], "a", "b")
+    s = (math.log(1.5) + 1) ** 2
+    got = {r.k: r.cosine for r in found.collect()}
+    assert got == pytest.approx({1: 2 / math.sqrt((4 + s) * (1 + s)), 2: 1.0, 3: None, 5: 0.0, 6: 3 / math.sqrt(2 * 5)})
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
