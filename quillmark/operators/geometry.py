@@ -5,8 +5,13 @@ Everything is a join or a window by page (and band), so no page is ever gathered
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .intervals import merged
 
@@ -133,36 +138,101 @@ SPLITS = [0.45, 0.50, 0.55, 0.60, 0.65]
 LEFT_SHARE, LEAST_RIGHT, STRAY = (0.25, 0.75), 10, 15
 
 
-def two_columns(words: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
-    """Pages (with width) whose words stand on both sides of the middle."""
-    left = (F.col("x0") < F.col("width") / 2).cast("int")
-    g = words.join(pages.select(*page, "width"), page).groupBy(*page, "width").agg(F.count("*").alias("_n"), F.sum(left).alias("_left"))
-    share = F.col("_left") / F.col("_n")
-    return g.where((share > LEFT_SHARE[0]) & (share < LEFT_SHARE[1]) & (F.col("_n") - F.col("_left") > LEAST_RIGHT)).select(*page, "width")
+def _strip(spans: list[tuple[float, float]], width: float, least: float) -> float | None:
+    """The middle of the widest empty strip between sorted spans in the inner 80 per cent of the width, the first of equals."""
+    end = best = found = None
+    for x0, x1 in spans:
+        if end is not None and x0 > end:
+            gap, middle = x0 - end, (x0 + end) / 2
+            if gap >= least and width * 0.1 <= middle <= width * 0.9 and (best is None or gap > best):
+                best, found = gap, middle
+        end = x1 if end is None else max(end, x1)
+    return found
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch], least: float, gap: float = 3.0) -> Iterator[pa.RecordBatch]:
+    """Pages whose words (``_w``, by x0, top and text) are in two columns, with their lines by ``_ways``."""
+    for batch in batches:
+        lists, width = batch.column("_w"), batch.column("_width").to_pylist()
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        place, tops, texts = (flat.field(k) for k in ("x0", "top", "text"))
+        ends, texts = flat.field("x1").to_pylist(), texts.to_pylist()
+        placed, has_top = (x.is_valid().to_numpy(zero_copy_only=False) for x in (place, tops))
+        starts = place.to_pylist()
+        x, top = (np.asarray(v.fill_null(0).cast(pa.float64()).to_numpy(zero_copy_only=False)) for v in (place, tops))
+        first = np.cumsum(size) - size
+        pages, splits = [], []
+        for k, (a, n, w) in enumerate(zip(first.tolist(), size.tolist(), width)):
+            if w is None or not n:
+                continue
+            left = int((placed[a : a + n] & (x[a : a + n] < w / 2)).sum())
+            if not LEFT_SHARE[0] < left / n < LEFT_SHARE[1] or n - left <= LEAST_RIGHT:
+                continue
+            spans = [(p, q) for p, q in zip(starts[a : a + n], ends[a : a + n]) if p is not None and q is not None and q > p]
+            found = _strip(spans, w, least)
+            if found is None:
+                found = _strip([(p, q) for p, q in spans if not (p < w / 2 < q)], w, least)
+            pages.append(k)
+            splits.append([w / 2 if found is None else found, *(w * r for r in SPLITS)])
+        ways = []
+        if pages:
+            n = size[pages]
+            page = np.repeat(np.arange(len(pages)), n)
+            at = np.arange(len(page)) + np.repeat(first[pages] - np.cumsum(n) + n, n)
+            for k in range(len(SPLITS) + 1):
+                # words without a place are on no side (2), but have lines too
+                side = np.where(placed[at], (x[at] >= np.array([v[k] for v in splits])[page]).astype(np.int8), 2)
+                order = np.lexsort((at, top[at], has_top[at], side, page))
+                o, key = at[order], page[order] * 3 + side[order]
+                opens = np.ones(len(o), bool)
+                opens[1:] = (key[1:] != key[:-1]) | (has_top[o[1:]] & has_top[o[:-1]] & (top[o[1:]] - top[o[:-1]] > gap))
+                line = np.cumsum(opens)
+                o, cuts = o[np.lexsort((o, line))].tolist(), np.append(np.flatnonzero(opens), len(o)).tolist()
+                sides: list[list[str]] = [[] for _ in range(3 * len(pages))]
+                for g, i, j in zip(key[opens].tolist(), cuts, cuts[1:]):
+                    sides[g].append(" ".join(t for t in map(texts.__getitem__, o[i:j]) if t is not None))
+                ways.append([{"choice": k, "split": v[k], "left": sides[3 * i], "right": sides[3 * i + 1], "none": sides[3 * i + 2]} for i, v in enumerate(splits)])
+        own = batch.drop_columns(["_w", "_width"]).take(pa.array(pages, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array([list(x) for x in zip(*ways)], _WAYS)], names=[*own.schema.names, "_ways"])
+
+
+_WAYS = pa.list_(pa.struct([("choice", pa.int32()), ("split", pa.float64()), *((side, pa.list_(pa.string())) for side in ("left", "right", "none"))]))
 
 
 def best_split(words: DataFrame, pages: DataFrame, page: list[str], least: float = 15.0) -> DataFrame:
     """(page, choice, split, headings, stray, text) of pages of two columns: the best of six ways to part them.
 
-    Choice 0 is the gutter, the others are SPLITS of the width. All are laid out in one pass: each word is a row of every
-    choice and side. The best has most headings, then fewest stray lines (a short single word that isn't in capitals),
-    then the longest text, then the first place.
+    Choice 0 is the gutter, the others are SPLITS of the width. A page's words come together once, as a list in its row, and
+    all choices are laid out in that row, so no word is a row of each choice and nothing more is sorted or shuffled. The best
+    has most headings, then fewest stray lines (a short single word that isn't in capitals), then the longest text, then the
+    first place.
     """
-    two = two_columns(words, pages, page)
-    found = gutter(words.join(two.select(*page), page, "left_semi"), two, page, least)
-    ways = F.array(F.struct(F.lit(0).alias("choice"), F.col("split").alias("split")), *[F.struct(F.lit(k).alias("choice"), (F.col("width") * r).alias("split")) for k, r in enumerate(SPLITS, 1)])
-    tried = two.join(found.select(*page, "split"), page).select(*page, F.inline(ways))
-    sided = words.join(tried, page).withColumn("_side", (F.col("x0") >= F.col("split")).cast("int"))
-    key = [*page, "choice", "split", "_side"]
-    line = F.rtrim("line")
-    lines = text_lines(sided, key).where(~F.trim("line").rlike(r"(?U)^\p{Alpha}$"))
-    bare = F.trim("line")
-    capital = (F.upper(bare) == bare) & (F.lower(bare) != bare)
-    lone = (bare != "") & ~bare.rlike(r"(?U)\s") & ~capital & (F.length(bare) < STRAY)
-    side = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.struct("line_no", line.alias("line"))))), lambda x: x["line"]), "\n")
-    whole = lines.groupBy(*page, "choice", "split").agg(F.concat_ws("\n", side(0), side(1)).alias("text"), F.sum(lone.cast("int")).alias("stray"))
-    low = F.lower("text")
-    scored = whole.withColumn("headings", sum((F.contains(low, F.lit(h)).cast("int") for h in HEADINGS), F.lit(0)))
-    rank = F.struct("headings", -F.col("stray"), F.length("text"), -F.col("choice"))
-    best = scored.groupBy(*page).agg(F.max_by(F.struct("choice", "split", "headings", "stray", "text"), rank).alias("_b"))
-    return best.select(*page, "_b.*")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    lists = words.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct(number("x0"), number("top"), "text", number("x1")))).alias("_w"))
+    # pages grow with the words: none is broadcast
+    sized = lists.join(pages.select(*page, number("width").alias("_width")).hint("merge"), page)
+    side = "array<string>"
+    kinds = StructType([*[sized.schema[k] for k in page], StructField("_ways", ArrayType(StructType.fromDDL(f"choice int, split double, left {side}, right {side}, none {side}")))])
+    laid = sized.select(*page, "_w", "_width").mapInArrow(lambda it: _laid_out(it, least), kinds)
+
+    def lone(line: Column) -> Column:
+        bare = F.trim(line)
+        capital = (F.upper(bare) == bare) & (F.lower(bare) != bare)
+        return (bare != "") & ~bare.rlike(r"(?U)\s") & ~capital & (F.length(bare) < STRAY)
+
+    # one step after the other, so that each is made once
+    kept = lambda x: F.filter(x, lambda line: ~F.trim(line).rlike(r"(?U)^\p{Alpha}$"))
+    whole = lambda x: F.array_join(F.transform(x, lambda line: F.rtrim(line)), "\n")
+    steps = [
+        lambda w: F.struct(w["choice"].alias("choice"), w["split"].alias("split"), kept(w["left"]).alias("left"), kept(w["right"]).alias("right"), kept(w["none"]).alias("none")),
+        lambda w: F.struct(w["choice"].alias("choice"), w["split"].alias("split"), F.concat_ws("\n", whole(w["left"]), whole(w["right"])).alias("text"), F.concat(w["left"], w["right"], w["none"]).alias("lines")),
+        lambda w: F.struct(w["choice"].alias("choice"), w["split"].alias("split"), w["text"].alias("text"), F.lower(w["text"]).alias("low"), F.size(w["lines"]).alias("n"), F.size(F.filter(w["lines"], lone)).cast("bigint").alias("stray")),
+    ]
+    ways = F.col("_ways")
+    for step in steps:
+        ways = F.transform(ways, step)
+    headings = lambda w: sum((F.contains(w["low"], F.lit(h)).cast("int") for h in HEADINGS), F.lit(0))
+    ranked = F.transform(F.filter(ways, lambda w: w["n"] > 0), lambda w: F.struct(headings(w).alias("headings"), (-w["stray"]).alias("less"), F.length(w["text"]).alias("length"), (-w["choice"]).alias("place"), w["split"].alias("split"), w["text"].alias("text")))
+    best = laid.select(*page, F.array_max(ranked).alias("_b")).where("_b IS NOT NULL")
+    return best.select(*page, (-F.col("_b.place")).alias("choice"), "_b.split", "_b.headings", (-F.col("_b.less")).alias("stray"), "_b.text")

@@ -4,7 +4,7 @@ import math
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
-from quillmark.operators import retrieval
+from quillmark.operators import geometry, retrieval
 
 
 def plan(df):
@@ -46,3 +46,19 @@ def test_pair_tfidf_makes_no_term_rows(spark):
     got = {r.k: r.cosine for r in found.collect()}
     assert got == pytest.approx({1: 2 / math.sqrt((4 + s) * (1 + s)), 2: 1.0, 3: None, 5: 0.0, 6: 3 / math.sqrt(2 * 5)})
     assert "Generate" not in plan(found) and "Join" not in plan(found)
+
+
+def test_best_split_makes_no_row_of_each_choice(spark):
+    """Words without a place, a top or a text too, equal words, pages without words in two columns."""
+    words = [(p, f"{'skills' if (p + k) % 9 == 0 else 'ab'}{k % 3}", float(k % 2 * 50 + k % 5 * 3), float(k % 2 * 50 + k % 5 * 3 + 6), float(k // 4 * 2)) for p in range(6) for k in range(40)]
+    words += [(1, None, 4.0, 9.0, 6.0), (1, "x", 70.0, 75.0, None), (2, "lone", None, None, 500.0), (2, "lone", None, 3.0, 900.0), (7, "a", 1.0, 2.0, 3.0), (None, "a", 1.0, 2.0, 3.0)]
+    w = spark.createDataFrame(words, "page int, text string, x0 double, x1 double, top double").repartition(3)
+    pages = spark.createDataFrame([(p, 100.0) for p in range(9)], "page int, width double")
+    found = geometry.best_split(w, pages, ["page"], 5.0)
+    got = {r.page: r for r in found.collect()}
+    assert sorted(got) == list(range(6)) and all("\n" in r.text for r in got.values())
+    # a line on no side counts as a stray one
+    assert got[2].stray == got[5].stray + 2 and got[2].split == got[5].split
+    gutters = {r.page: r.split for r in geometry.gutter(w, pages, ["page"], 5.0).collect()}
+    assert all(r.split == gutters[p] for p, r in got.items() if r.choice == 0)
+    assert "Window" not in plan(found) and "Generate" not in plan(found)
