@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import numbers
 
@@ -107,40 +112,48 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s-]", " ")
 
 
-def _terms(clean: Column, stop: list[str]) -> Column:
-    """Words of two characters or more that aren't stop words, and pairs of neighbours among them."""
+def _kept(clean: Column, stop: list[str]) -> Column:
+    """Words of two characters or more that aren't stop words."""
     words = F.regexp_extract_all(clean, F.lit(r"(?U)(\b\w\w+\b)"), 1)
-    kept = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
-    pairs = F.zip_with(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(kept, pairs)
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+
+
+def _counts(words: list[str]) -> Counter[str]:
+    """Words, and pairs of neighbours among them."""
+    return Counter(words) + Counter(map(" ".join, zip(words, words[1:])))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without their words, with sums of squares of a document's terms, of those shared with its posting, and products."""
+    for batch in batches:
+        sums = []
+        for words, wanted in zip(batch.column("_words").to_pylist(), batch.column("_asked").to_pylist()):
+            own, other = _counts(words), _counts(wanted or [])
+            both = [(own[x], m) for x, m in other.items() if x in own]
+            sums.append((sum(n * n for n in own.values()), sum(m * m for m in other.values()), sum(n * m for n, m in both), sum(n * n for n, _ in both), sum(m * m for _, m in both)))
+        rest = batch.drop_columns(["_words", "_asked"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(list(x), pa.int64()) for x in zip(*sums))] if sums else [*rest.columns, *[pa.array([], pa.int64())] * len(_SUMS)], names=[*rest.schema.names, *_SUMS])
+
+
+_SUMS = ["d2", "p2", "dot", "ds", "ps"]
 
 
 def keyword_points(docs: DataFrame, key: str, text: str, of: str, postings: DataFrame, posting: str, stop: list[str]) -> DataFrame:
     """(key, match_pct, cosine_pct, keyword_points, missing) of each document against the posting that its column ``of`` names.
 
     Both texts count as two documents of TF-IDF, so a shared term weighs 1 and any other 1 + ln 1.5: the norms follow from
-    sums of squares and what is shared, and only shared terms are joined. Without a posting or words in it the points are
-    BASE_KEYWORDS and the figures null. Keys are unique; rows with a null key give none.
+    sums of squares and what is shared. Postings are a stated table and go to the documents, whose terms are counted in
+    their row: none becomes a row, and nothing is shuffled. Without a posting or words in it the points are
+    BASE_KEYWORDS and the figures null. Keys are unique, of documents and of postings; rows with a null key give none.
     """
     rare = (1.0 + F.log(F.lit(1.5))) ** 2
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(of).alias("_of"), _clean(F.col(text)).alias("_c"))
     p = postings.select(F.col(of).alias("_of"), _clean(F.col(posting)).alias("_c"))
-
-    def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-        both = F.concat(F.transform(F.split("_c", r"(?U)\s+"), lambda w: F.struct(F.lit("w").alias("kind"), w.alias("term"))), F.transform(_terms(F.col("_c"), stop), lambda w: F.struct(F.lit("t").alias("kind"), w.alias("term"))))
-        return rows.select(*keys, F.explode(both).alias("x")).where("x.term <> ''").groupBy(*keys, F.col("x.kind").alias("kind"), F.col("x.term").alias("term")).agg(F.count("*").alias("n"))
-
-    dt = counted(d, ["_key", "_of"])
-    pt = counted(p, ["_of"]).where((F.col("kind") == "t") | ~F.col("term").isin(FILLER))
-    square = F.sum(F.when(F.col("kind") == "t", F.col("n") * F.col("n")).otherwise(0))
-    per_posting = pt.groupBy("_of").agg(square.alias("p2"), F.collect_list(F.when(F.col("kind") == "w", F.col("term"))).alias("wanted"))
-    j = dt.join(pt.withColumnRenamed("n", "m"), ["_of", "kind", "term"], "left")
-    is_t = F.col("kind") == "t"
-    shared = is_t & F.col("m").isNotNull()
-    total = lambda c, x: F.sum(F.when(c, x).otherwise(0))
-    n, m = F.col("n"), F.col("m")
-    got = j.groupBy("_key").agg(total(is_t, n * n).alias("d2"), total(shared, n * m).alias("dot"), total(shared, n * n).alias("ds"), total(shared, m * m).alias("ps"), F.collect_list(F.when((F.col("kind") == "w") & m.isNotNull(), F.col("term"))).alias("found"))
-    full = d.select("_key", "_of").join(per_posting, "_of", "left").join(got, "_key", "left")
+    words = F.array_distinct(F.split("_c", r"(?U)\s+"))
+    asks = p.select("_of", F.filter(words, lambda w: (w != "") & ~w.isin(FILLER)).alias("wanted"), _kept(F.col("_c"), stop).alias("_asked"))
+    both = d.join(F.broadcast(asks), "_of", "left").select("_key", "wanted", F.array_intersect("wanted", words).alias("found"), _kept(F.col("_c"), stop).alias("_words"), "_asked")
+    kinds = StructType([both.schema["_key"], both.schema["wanted"], both.schema["found"], *[StructField(x, LongType()) for x in _SUMS]])
+    full = both.mapInArrow(_shared, kinds)
     norm = lambda all_, same: rare * (F.coalesce(all_, F.lit(0)) - F.coalesce(same, F.lit(0))) + F.coalesce(same, F.lit(0))
     root = F.sqrt(norm(F.col("d2"), F.col("ds")) * norm(F.col("p2"), F.col("ps")))
     wanted, found = F.col("wanted"), F.coalesce("found", F.array().cast("array<string>"))
