@@ -31,10 +31,11 @@ def spans(docs: DataFrame, key: str, text: str, dictionary: DataFrame, margin: i
 
     ``before`` and ``after`` are the ``margin`` characters beside the span. Offsets are running sums of the lengths of
     tokens, so a text is tokenised once; only places where some term may begin become rows, and these meet the
-    dictionary in an equi-join.
+    dictionary in an equi-join. A dictionary of up to LITERALS terms goes to the rows, so that they stay where their text
+    is: docs that are dealt by key aren't shuffled again by what is grouped by it.
     """
     terms = dictionary.select("kind", "canonical", "term", "ord", F.array_join(spaced(F.col("term")), "").alias("_form"), F.size(spaced(F.col("term"))).alias("_n"), F.get(spaced(F.col("term")), F.lit(0)).alias("_head")).where("_form <> ''")
-    known = terms.agg(F.max("_n").alias("most"), F.approx_count_distinct("_head").alias("heads")).first()
+    known = terms.agg(F.max("_n").alias("most"), F.approx_count_distinct("_head").alias("heads"), F.count("*").alias("terms")).first()
     most = known.most or 1
     heads = [r[0] for r in terms.select("_head").distinct().limit(LITERALS + 1).collect()] if known.heads <= LITERALS else []
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -59,13 +60,14 @@ def spans(docs: DataFrame, key: str, text: str, dictionary: DataFrame, margin: i
     word = lambda c, side: F.coalesce(F.col(c).rlike(rf"(?U)^\w" if side == "head" else rf"(?U)\w$"), F.lit(False))
     open_left = ~(F.ltrim("_first").rlike(_SIGN) & word("_prev", "tail") & ~F.col("_first").startswith(" "))
     open_right = ~(~word("_last", "tail") & word("_next", "head"))
-    hit = gram.where(open_left & open_right).join(terms.drop("_n", "_head"), "_form")
+    named = terms.drop("_n", "_head")
+    hit = gram.where(open_left & open_right).join(F.broadcast(named) if known.terms <= LITERALS else named, "_form")
     size = (F.col("end") - F.col("start")).cast("int")
     return hit.select(key, "kind", "canonical", "term", "ord", "start", "end", F.substring("_tail", F.lit(1), size).alias("surface"), "before", F.substring(F.col("_tail"), size + 1, F.lit(margin)).alias("after"))
 
 
-def longest_first(found: DataFrame, by: list[str]) -> DataFrame:
-    """Of spans that overlap, the longest, then the earliest, then the first by kind and name; the others go.
+def _apart(found: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows with ``name``: whether the span stays where of those that overlap only the longest do.
 
     Only spans of one chain of overlaps meet in a list.
     """
@@ -76,30 +78,42 @@ def longest_first(found: DataFrame, by: list[str]) -> DataFrame:
     rest = [c for c in found.columns if c not in by]
     ranked = F.struct((F.col("start") - F.col("end")).alias("_size"), "start", "kind", "canonical", "term", *[F.col(c).alias(f"_{c}") for c in rest if c not in ("start", "kind", "canonical", "term")])
     g = chained.groupBy(*by, "_chain").agg(F.sort_array(F.collect_list(ranked)).alias("_all"))
-    clash = lambda acc, x: F.exists(acc, lambda a: (a["start"] < x["_end"]) & (x["start"] < a["_end"]))
-    kept = F.when(F.size("_all") == 1, F.col("_all")).otherwise(F.aggregate("_all", F.slice("_all", 1, 1), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x)))))
-    out = g.select(*by, F.inline(kept))
-    return out.select(*by, *[F.col(c if c in ("start", "kind", "canonical", "term") else f"_{c}").alias(c) for c in rest])
+    clash = lambda a, b: (a["start"] < b["_end"]) & (b["start"] < a["_end"])
+    nth = lambda i: F.get("_all", i)
+    stays = F.aggregate(F.sequence(F.lit(1), F.size("_all") - 1), F.array(F.lit(0)), lambda acc, i: F.when(F.exists(acc, lambda k: clash(nth(k), nth(i))), acc).otherwise(F.concat(acc, F.array(i))))
+    g = g.withColumn("_stays", F.when(F.size("_all") == 1, F.array(F.lit(0))).otherwise(stays))
+    out = g.select(*by, F.inline(F.transform("_all", lambda x, i: F.struct(x.alias("x"), F.array_contains("_stays", i).alias(name)))))
+    return out.select(*by, *[F.col("x")[c if c in ("start", "kind", "canonical", "term") else f"_{c}"].alias(c) for c in rest], name)
 
 
-def first_terms(found: DataFrame, key: str) -> DataFrame:
-    """Per key, kind and name the earliest span of its first term that occurs."""
-    rest = [c for c in found.columns if c not in (key, "kind", "canonical")]
-    return found.groupBy(key, "kind", "canonical").agg(F.min_by(F.struct(*rest), F.struct("ord", "start", "term")).alias("x")).select(key, "kind", "canonical", "x.*")
+def longest_first(found: DataFrame, by: list[str]) -> DataFrame:
+    """Of spans that overlap, the longest, then the earliest, then the first by kind and name; the others go."""
+    return _apart(found, by, "_stays").where("_stays").drop("_stays")
 
 
 def entities(found: DataFrame, key: str, methods: dict[str, list[str] | None]) -> DataFrame:
     """Spans united over methods: one row for each key, kind, name (without case) and start.
 
-    ``methods`` names in order of precedence ``first_term``, ``longest_first`` and ``every_term`` with the kinds each is
-    used for (None: all). Of one place the first method wins, then the longest span.
+    ``methods`` names in order of precedence ``first_term`` (of a key, kind and name the earliest span of its first term
+    that occurs), ``longest_first`` and ``every_term`` with the kinds each is used for (None: all). Of one place the first
+    method wins, then the longest span. A span's row is marked by all methods in turn, so the spans are found once, and
+    every step groups by the key first.
     """
-    made = {"first_term": lambda d: first_terms(d, key), "longest_first": lambda d: longest_first(d, [key]), "every_term": lambda d: d}
-    cols = found.columns
-    parts = [made[m](found if kinds is None else found.where(F.col("kind").isin(kinds))).select(*cols).withColumn("method", F.lit(m)).withColumn("_place", F.lit(i)) for i, (m, kinds) in enumerate(methods.items())]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
+    d, cols, places = found, found.columns, []
+    for i, (method, kinds) in enumerate(methods.items()):
+        used = F.lit(True) if kinds is None else F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+        if method == "first_term":
+            first = F.row_number().over(Window.partitionBy(key, "kind", "canonical").orderBy("ord", "start", "term"))
+            d = d.withColumn(f"_by{i}", used & (first == 1))
+        elif method == "longest_first":
+            d = _apart(d.withColumn("_used", used), [key, "_used"], f"_by{i}").withColumn(f"_by{i}", F.col(f"_by{i}") & F.col("_used")).drop("_used")
+        elif method == "every_term":
+            d = d.withColumn(f"_by{i}", used)
+        else:
+            raise ValueError(method)
+        places.append(F.when(F.col(f"_by{i}"), i))
+    names = F.array(*[F.lit(m) for m in methods])
+    all_ = d.withColumn("_place", F.coalesce(*places)).where("_place IS NOT NULL").select(*cols, F.get(names, F.col("_place")).alias("method"), "_place")
     rest = [c for c in all_.columns if c not in (key, "kind", "start", "_place")]
     g = all_.groupBy(key, "kind", F.lower("canonical").alias("_name"), "start").agg(F.min_by(F.struct(*rest), F.struct("_place", -F.col("end"), "canonical", "term")).alias("x"))
     e = g.select(key, "kind", "start", "x.*")
