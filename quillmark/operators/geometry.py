@@ -9,9 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from .intervals import merged
 
@@ -84,28 +85,94 @@ def has_columns(boxes: DataFrame, pages: DataFrame, page: list[str]) -> DataFram
 
     ``boxes`` has x0, x1, y0, y1, ``pages`` width and height. A side needs LEAST_BOXES boxes and LEAST_COVERAGE of the
     height; a narrow right side whose boxes end flush (dates, say) isn't a column.
-    All tables here grow with the pages, so none is sent whole through the driver: the joins sort and merge.
+    A page's boxes come together once, as a list in its row, and all gutters are tried in that row, so no box is a row of
+    each gutter. Pages grow with the boxes: none is broadcast.
     """
-    enough = boxes.groupBy(*page).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_ON_PAGE).drop("_n")
-    at = pages.where(F.col("height") > 0).join(enough.hint("merge"), page).select(*page, F.col("width").alias("_w"), F.col("height").alias("_h"), F.explode(F.array(*[F.lit(g) for g in GUTTERS])).alias("_g")).withColumn("_x", F.col("_w") * F.col("_g") / 100)
-    key = [*page, "_g"]
-    b = boxes.select(*page, "x0", "x1", "y0", "y1").join(at.hint("merge"), page)
-    # free bands: before, between and after the crossing boxes
-    crossing = merged(b.where((F.col("x0") < F.col("_x")) & (F.col("x1") > F.col("_x"))), key, "y0", "y1")
-    after = F.lead("y0").over(Window.partitionBy(*key).orderBy("y0"))
-    below = at.join(crossing.withColumn("_hi", after).hint("merge"), key).select(*key, F.greatest("y1", F.lit(0.0)).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
-    top = at.join(crossing.groupBy(*key).agg(F.min("y0").alias("_hi")).hint("merge"), key, "left").select(*key, F.lit(0.0).alias("_lo"), F.coalesce("_hi", "_h").alias("_hi"))
-    bands = top.unionByName(below).where(F.col("_hi") > F.col("_lo"))
-    side = F.when(F.col("x1") <= F.col("_x"), "left").when(F.col("x0") >= F.col("_x"), "right")
-    beside = b.withColumn("_side", side).where(F.col("_side").isNotNull()).join(bands.hint("merge"), key).where((F.col("y1") > F.col("_lo")) & (F.col("y0") < F.col("_hi")))
-    span = [*key, "_lo", "_hi", "_side"]
-    edge = F.max("x1").over(Window.partitionBy(*span))
-    counts = beside.withColumn("_flush", (edge - F.col("x1") <= RIGHT_EDGE).cast("int")).groupBy(*span, "_w", "_h").agg(F.count("*").alias("_n"), F.avg("_flush").alias("_flush"), F.max(F.col("x1") - F.col("x0")).alias("_wide"))
-    cover = union_length(beside.select(*span, F.greatest("y0", "_lo").alias("y0"), F.least("y1", "_hi").alias("y1")), span, "y0", "y1")
-    good = counts.join(cover.hint("merge"), span).where((F.col("_n") >= LEAST_BOXES) & (F.col("union_length") >= LEAST_COVERAGE * F.col("_h")))
-    good = good.where(~((F.col("_side") == "right") & (F.col("_flush") >= RIGHT_FLUSH) & (F.col("_wide") < RIGHT_WIDTH * F.col("_w"))))
-    both = good.groupBy(*key, "_lo", "_hi").agg(F.count("*").alias("_sides")).where(F.col("_sides") == 2).select(*page).distinct().withColumn("_yes", F.lit(True))
-    return pages.join(both.hint("merge"), page, "left").select(*page, F.coalesce("_yes", F.lit(False)).alias("columns"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    lists = boxes.groupBy(*page).agg(F.collect_list(F.struct(*[number(c) for c in ("x0", "x1", "y0", "y1")])).alias("_b"))
+    sized = pages.select(*page, number("width"), number("height")).join(lists.where(F.size("_b") >= LEAST_ON_PAGE).hint("merge"), page, "left")
+    kinds = StructType([*[sized.schema[k] for k in page], StructField("columns", BooleanType())])
+    return sized.mapInArrow(_columned, kinds)
+
+
+def _columned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with whether their boxes (``_b``) stand in columns."""
+    for batch in batches:
+        lists = batch.column("_b")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        sides = [flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "x1", "y0", "y1")]
+        width, height = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("width", "height"))
+        yes = _in_columns(np.repeat(np.arange(len(size)), size), *sides, width, height)
+        own = batch.drop_columns(["_b", "width", "height"])
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(yes, pa.bool_())], names=[*own.schema.names, "columns"])
+
+
+def _reach(group: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """The largest of the ranks (below ``n``) so far in each group of an array in order of groups."""
+    return np.maximum.accumulate(group * n + rank) - group * n
+
+
+def _in_columns(page: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each page of a batch whether some gutter parts columns; boxes without a place (NaN) are on no side."""
+    yes = np.zeros(len(width), bool)
+    ok = ~(np.isnan(x0) | np.isnan(x1) | np.isnan(y0) | np.isnan(y1)) & (height[page] > 0) & ~np.isnan(width[page])
+    order = np.flatnonzero(ok)[np.lexsort((y1[ok], y0[ok], page[ok]))]
+    page, x0, x1, y0, y1 = (v[order] for v in (page, x0, x1, y0, y1))
+    ends, rank = np.unique(y1, return_inverse=True)
+    n = len(ends) + 1
+    for g in GUTTERS:
+        # a page that has columns at one gutter needs no other
+        at = np.flatnonzero(~yes[page])
+        if not len(at):
+            break
+        p, a, b, r = page[at], y0[at], y1[at], rank[at]
+        x = (width * g / 100)[p]
+        left, right = x1[at] <= x, x0[at] >= x
+        # stretches that some box crosses
+        c = np.flatnonzero((x0[at] < x) & (x1[at] > x) & (b > a))
+        cp, far = p[c], _reach(p[c], r[c], n)
+        new = np.ones(len(c), bool)
+        new[1:] = (cp[1:] != cp[:-1]) | (a[c][1:] > ends[far[:-1]])
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(c))[: len(start)] - 1
+        sp, s0, s1 = cp[start], a[c][start], ends[far[last]]
+        # free bands: before, between and after them
+        known = np.unique(p)
+        bp, lo, hi = np.concatenate([known, sp]), np.concatenate([np.zeros(len(known)), np.maximum(s1, 0.0)]), height[np.concatenate([known, sp])]
+        first = np.flatnonzero(np.append(True, sp[1:] != sp[:-1])[: len(sp)])
+        hi[np.searchsorted(known, sp[first])] = s0[first]
+        inner = np.flatnonzero(sp[1:] == sp[:-1])
+        hi[len(known) + inner] = s0[inner + 1]
+        free = np.flatnonzero(hi > lo)
+        free = free[np.lexsort((lo[free], bp[free]))]
+        bp, lo, hi = bp[free], lo[free], hi[free]
+        # the bands of a page are apart and in order, so a box meets a run of them; complex numbers compare by page, then place
+        d = np.flatnonzero(left | right)
+        begin, end = np.searchsorted(bp + 1j * hi, p[d] + 1j * a[d], "right"), np.searchsorted(bp + 1j * lo, p[d] + 1j * b[d], "left")
+        m = np.maximum(end - begin, 0)
+        if not m.sum():
+            continue
+        box = np.repeat(d, m)
+        band = np.arange(len(box)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin, m)
+        group = band * 2 + ~left[box]
+        o = np.argsort(group, kind="stable")
+        box, band, group = box[o], band[o], group[o]
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        nth = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+        count = np.diff(np.append(cut, len(group)))
+        far = _reach(nth, r[box], n)
+        before = np.full(len(box), -np.inf)
+        before[1:] = np.where(nth[1:] == nth[:-1], ends[far[:-1]], -np.inf)
+        top, bottom = np.maximum(a[box], lo[band]), np.minimum(b[box], hi[band])
+        cover = np.add.reduceat(np.maximum(bottom - np.maximum(top, np.minimum(before, hi[band])), 0.0), cut)
+        u0, u1 = x0[at][box], x1[at][box]
+        flush = np.add.reduceat((np.maximum.reduceat(u1, cut)[nth] - u1 <= RIGHT_EDGE).astype(float), cut) / count
+        of, is_right = band[cut], group[cut] % 2 == 1
+        narrow = is_right & (flush >= RIGHT_FLUSH) & (np.maximum.reduceat(u1 - u0, cut) < RIGHT_WIDTH * width[bp[of]])
+        good = of[(count >= LEAST_BOXES) & (cover >= LEAST_COVERAGE * height[bp[of]]) & ~narrow]
+        yes[bp[good[1:][good[1:] == good[:-1]]]] = True
+    return yes
 
 
 def repeated_margin_lines(boxes: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
