@@ -57,15 +57,41 @@ def spans(docs: DataFrame, key: str, text: str, dictionary: DataFrame, margin: i
     rows = at.select(key, F.inline(F.transform(places, row)))
     n = F.sequence(F.lit(1), F.least(F.size("s"), F.lit(most)))
     gram = rows.select(key, "start", "before", "_prev", "_tail", F.get("s", F.lit(0)).alias("_first"), F.inline(F.transform(n, lambda k: F.struct(F.ltrim(F.array_join(F.slice("s", 1, k), "")).alias("_form"), F.get("e", k - 1).alias("end"), F.get("s", k - 1).alias("_last"), F.get("s", k).alias("_next")))))
-    word = lambda c, side: F.coalesce(F.col(c).rlike(rf"(?U)^\w" if side == "head" else rf"(?U)\w$"), F.lit(False))
-    open_left = ~(F.ltrim("_first").rlike(_SIGN) & word("_prev", "tail") & ~F.col("_first").startswith(" "))
-    open_right = ~(~word("_last", "tail") & word("_next", "head"))
     named = terms.drop("_n", "_head")
-    hit = gram.where(open_left & open_right).join(F.broadcast(named) if known.terms <= LITERALS else named, "_form")
+    hit = gram.where(_open()).join(F.broadcast(named) if known.terms <= LITERALS else named, "_form")
     size = (F.col("end") - F.col("start")).cast("int")
     return hit.select(key, "kind", "canonical", "term", "ord", "start", "end", F.substring("_tail", F.lit(1), size).alias("surface"), "before", F.substring(F.col("_tail"), size + 1, F.lit(margin)).alias("after"))
 
 
+def terms_found(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """(key, kind, canonical, term) of every whole term, as ``spans`` finds them, once for each place but without it."""
+    terms = dictionary.select("kind", "canonical", "term", F.array_join(spaced(F.col("term")), "").alias("_form"), F.size(spaced(F.col("term"))).alias("_n"), F.get(spaced(F.col("term")), F.lit(0)).alias("_head")).where("_form <> ''")
+    known = terms.agg(F.max("_n").alias("most"), F.approx_count_distinct("_head").alias("heads"), F.count("*").alias("terms")).first()
+    most = known.most or 1
+    heads = [r[0] for r in terms.select("_head").distinct().limit(LITERALS + 1).collect()] if known.heads <= LITERALS else []
+    # runs of blanks are made one before the text is cut, so no token needs a look of its own
+    plain = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
+    t = docs.select(F.col(key), F.regexp_extract_all(plain, F.lit(r"(?U)( ?(?:\w+|[^\w\s]))"), 1).alias("t")).where("size(t) > 0")
+    places = F.sequence(F.lit(1), F.size("t"))
+    if 0 < len(heads) <= LITERALS:
+        starts = [x for h in heads for x in (h, f" {h}")]
+        places = F.filter(places, lambda i: F.get("t", i - 1).isin(starts))
+    rows = t.select(key, F.inline(F.transform(places, lambda i: F.struct(F.get("t", i - 2).alias("_prev"), F.slice("t", i, F.lit(most + 1)).alias("s")))))
+    n = F.sequence(F.lit(1), F.least(F.size("s"), F.lit(most)))
+    gram = rows.select(key, "_prev", F.get("s", F.lit(0)).alias("_first"), F.inline(F.transform(n, lambda k: F.struct(F.ltrim(F.array_join(F.slice("s", 1, k), "")).alias("_form"), F.get("s", k - 1).alias("_last"), F.get("s", k).alias("_next")))))
+    named = terms.drop("_n", "_head")
+    # only what is a term is looked at from its sides
+    hit = gram.join(F.broadcast(named) if known.terms <= LITERALS else named, "_form").where(_open())
+    return hit.select(key, "kind", "canonical", "term")
+
+
+def _open() -> Column:
+    """Whether no word character touches a sign at the edge of a run from ``_first`` to ``_last``."""
+    word = lambda c, side: F.coalesce(F.col(c).rlike(r"(?U)^\w" if side == "head" else r"(?U)\w$"), F.lit(False))
+    left = ~(F.ltrim("_first").rlike(_SIGN) & word("_prev", "tail") & ~F.col("_first").startswith(" "))
+    return left & ~(~word("_last", "tail") & word("_next", "head"))
+
+
 def _apart(found: DataFrame, by: list[str], name: str) -> DataFrame:
     """Rows with ``name``: whether the span stays where of those that overlap only the longest do.
 

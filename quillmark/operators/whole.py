@@ -18,7 +18,7 @@ def names_found(docs: DataFrame, key: str, text: str, registry: DataFrame) -> Da
 
     The rank is the one of the best priority, whatever its place; the lists are sorted names.
     """
-    found = evidence.spans(docs, key, text, registry, margin=1).join(F.broadcast(registry.select("kind", "canonical", "term", "priority").distinct()), ["kind", "canonical", "term"])
+    found = evidence.terms_found(docs, key, text, registry).join(F.broadcast(registry.select("kind", "canonical", "term", "priority").distinct()), ["kind", "canonical", "term"])
     names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("canonical"))))
     rank = F.min(F.when(F.col("kind") == "rank", F.struct("priority", "canonical")))["canonical"]
     return found.groupBy(key).agg(rank.alias("rank"), names("skill").alias("skills"), names("certificate").alias("certificates"), names("vessel_type").alias("vessels"))
